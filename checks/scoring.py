@@ -118,12 +118,12 @@ def recommendations(spark, sf):
 
 @query("what_if", sql=ALL + """
 SELECT asset_id, pct::DOUBLE AS pct, round(gap * pct / 100, 6) AS closed_gap, round(actual + gap * pct / 100, 6) AS scenario_level,
-  round(loss_volume * pct / 100, 8) AS scenario_volume, round(recovery_value * pct / 100, 6) AS scenario_value
+  round(loss_volume * pct / 100, 12) AS scenario_volume, round(recovery_value * pct / 100, 10) AS scenario_value
 FROM prio CROSS JOIN (SELECT unnest([10, 20, 30, 45]) AS pct) p""")
 def what_if(spark, sf):
     out = scoring.what_if(scored(spark, sf), (10, 20, 30, 45))
     return out.select("asset_id", "pct", F.round("closed_gap", 6).alias("closed_gap"), F.round("scenario_level", 6).alias("scenario_level"),
-                      F.round("scenario_volume", 8).alias("scenario_volume"), F.round("scenario_value", 6).alias("scenario_value"))
+                      F.round("scenario_volume", 12).alias("scenario_volume"), F.round("scenario_value", 10).alias("scenario_value"))
 
 
 @query("verification_list", sql=ALL + """
@@ -310,9 +310,9 @@ def validate_models(spark, sf):
     return portfolio.validate_models(models(spark, sf)).select("code", "model_name", "reason", "valid")
 
 
-@query("models_view", sql=with_(MODELS) + " SELECT code, model_name, status FROM models WHERE contains(lower(model_name), 'part 1')")
+@query("models_view", sql=with_(MODELS) + " SELECT code, model_name, status FROM models WHERE contains(lower(model_name), 'ring')")
 def models_view(spark, sf):
-    return portfolio.models_view(models(spark, sf), name="Part 1").select("code", "model_name", "status")
+    return portfolio.models_view(models(spark, sf), name="Ring").select("code", "model_name", "status")
 
 
 STATUS_EVENTS = """, ev AS (SELECT asset_id, CAST(date_trunc('month', timestamp) AS DATE) AS period, timestamp, l_orderkey, l_linenumber, l_partkey,

@@ -82,12 +82,6 @@ def to_millions(c: Column) -> Column:
     return c / 1_000_000.0
 
 
-def hash_draw(*parts: Column, word: int = 0) -> Column:
-    """Deterministic draw in [0, 1) from an md5 of the parts (8 hex digits per word)."""
-    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def clean_text(c: Column, max_length: int = 120) -> Column:
     return F.trim(F.substring(F.coalesce(c, F.lit("")), 1, max_length))
 

@@ -1,9 +1,10 @@
 """Isolation forest as DataFrame steps.
 
-Every (row, tree) pair walks down one level per step. All windows of a level share the partitioning of the key, so the
-whole build is one shuffle followed by local sorts; no join and no lineage cut is needed, because a level reads the one
-before it exactly once. A tree node never holds more than the sample size, and the sample is taken by hash order, so the
-forest does not depend on partitioning or input order.
+Every (row, tree) pair walks down one level per step. All windows of a level share the partitioning by key and tree
+group, so the whole build is one shuffle followed by local sorts; no join and no lineage cut is needed, because a level
+reads the one before it exactly once. Rows are copied once per tree group before the shuffle and once per tree after it,
+so the trees of one key spread over several tasks without shuffling every (row, tree) pair. A tree node never holds more
+than the sample size, and the sample is taken by hash order, so the forest does not depend on partitioning or input order.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.config import ForestConfig
-from fieldspark.functions.columns import clamp, hash_draw
+from fieldspark.functions.columns import clamp
 from fieldspark.operators.quantiles import group_percentiles
 
 
+TREE_GROUPS = 8  # copies of a row that are shuffled; bounds the trees one task grows for one key
+
+
 def average_path(n: Column) -> Column:
     """Mean path length of an unsuccessful search among n points (harmonic sum taken by its logarithmic form)."""
     m = n.cast("double")
@@ -26,10 +30,13 @@ def average_path(n: Column) -> Column:
     return F.when(m > 2, body).when(m == 2, 1.0).otherwise(0.0)
 
 
-def harmonic_path(n: Column) -> Column:
-    """The same with the exact harmonic sum, for bounded n."""
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int") - 1, F.lit(1))), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    return F.when(n > 1, 2.0 * total - 2.0 * (n - 1) / n).otherwise(0.0)
+def harmonic_path(n: Column, limit: int) -> Column:
+    """The same with the exact harmonic sum, looked up for n up to the sample size."""
+    table, total = [0.0, 0.0], 0.0
+    for m in range(2, limit + 1):
+        total += 1.0 / (m - 1)
+        table.append(2.0 * total - 2.0 * (m - 1) / m)
+    return F.get(F.expr("array(" + ", ".join(f"{v!r}D" for v in table) + ")"), n.cast("int"))
 
 
 def tree_depth(sample: int) -> int:
@@ -50,59 +57,53 @@ def grow(
     seed = F.lit(config.seed)
     rows = df.select(*keys, F.col(row_key).alias("_row"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    trees = F.explode(F.sequence(F.lit(1), F.lit(config.trees))).alias("tree")
+    groups = min(TREE_GROUPS, config.trees)
+    group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_grp")
+    mine = F.filter(F.sequence(F.lit(1), F.lit(config.trees)), lambda i: F.pmod(i, F.lit(groups)) == F.col("_grp"))
     order = F.md5(F.concat_ws(":", seed.cast("string"), F.col("tree").cast("string"), F.col("_row").cast("string")))
-    chosen = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy("_h", "_row"))
+    unit = [*keys, "_grp", "tree"]
+    chosen = F.row_number().over(Window.partitionBy(*unit).orderBy("_h", "_row"))
 
     def sampled(d: DataFrame) -> DataFrame:
         return d.withColumn("_h", order).withColumn("_rn", chosen).where(F.col("_rn") <= config.sample).drop("_h", "_rn")
 
+    copies = rows.select("*", group)
     if presample or not keys:
-        walk = sampled(rows.select("*", trees))
-        if keys:
-            walk = walk.repartition(parts, *keys)
+        walk = sampled(copies.select("*", F.explode(mine).alias("tree"))).repartition(parts, *keys, "_grp")
     else:
-        walk = sampled(rows.repartition(parts, *keys).select("*", trees))
-    node = Window.partitionBy(*keys, "tree", "node")
-    name = [F.col(k) for k in keys]
-    walk = walk.withColumns({
-        "node": F.lit(1).cast("bigint"), "depth": F.lit(0), "size": F.lit(None).cast("bigint"),
-        "splits": F.array().cast("array<struct<node:bigint,feature:int,split:double>>")})
-    for level in range(tree_depth(config.sample) + 1):
-        last = level == tree_depth(config.sample)
-        stats = {"_n": F.count(F.lit(1)).over(node)}
-        if not last:
-            for j in range(len(features)):
-                stats[f"_lo{j}"] = F.min(F.col("_x")[j]).over(node)
-                stats[f"_hi{j}"] = F.max(F.col("_x")[j]).over(node)
-        walk = walk.withColumns(stats)
-        live = F.col("size").isNull()
-        if last:
-            walk = walk.withColumn("size", F.coalesce(F.col("size"), F.col("_n"))).drop("_n")
-            break
-        ranges = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"_lo{j}").alias("lo"), F.col(f"_hi{j}").alias("hi"))
-                           for j in range(len(features))])
-        walk = walk.withColumn("_open", F.filter(ranges, lambda r: r["hi"] > r["lo"]))
-        splittable = live & (F.col("_n") > 1) & (F.size("_open") > 0)
-        pick = F.floor(hash_draw(seed, *name, F.col("tree"), F.col("node")) * F.size("_open")).cast("int")
-        walk = walk.withColumn("_s", F.when(splittable, F.get("_open", pick)))
-        at = F.col("_s.lo") + hash_draw(seed, *name, F.col("tree"), F.col("node"), word=1) * (F.col("_s.hi") - F.col("_s.lo"))
-        walk = walk.withColumn("_at", at)
-        goes_left = F.get("_x", F.col("_s.j")) < F.col("_at")
-        split = F.struct(F.col("node").alias("node"), F.col("_s.j").alias("feature"), F.col("_at").alias("split"))
-        walk = walk.withColumns({
-            "size": F.when(live & F.col("_s").isNull(), F.col("_n")).otherwise(F.col("size")),
-            "splits": F.when(F.col("_s").isNotNull(), F.concat("splits", F.array(split))).otherwise(F.col("splits")),
-            "depth": F.when(F.col("_s").isNotNull(), F.col("depth") + 1).otherwise(F.col("depth")),
-            "node": F.when(F.col("_s").isNull(), F.col("node")).when(goes_left, F.col("node") * 2)
-            .otherwise(F.col("node") * 2 + 1)})
-        walk = walk.drop("_n", "_open", "_s", "_at", *[f"_lo{j}" for j in range(len(features))],
-                         *[f"_hi{j}" for j in range(len(features))])
-    return walk.withColumnRenamed("_row", row_key).drop("_x")
+        walk = sampled(copies.repartition(parts, *keys, "_grp").select("*", F.explode(mine).alias("tree")))
+    # SQL text per level: the same expressions through the column API cost seconds of driver time for a deep forest
+    id_cols = [f"`{c}`" for c in (*keys, "_grp", "tree", "_row", "_x")]
+    over = "OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in (*unit, "node")) + ")"
+    parts_of_hash = ", ".join([f"'{config.seed}'", *[f"CAST(`{k}` AS STRING)" for k in keys], "CAST(tree AS STRING)",
+                               "CAST(node AS STRING)"])
+    draws = [f"CAST(conv(substring(md5(concat_ws(':', {parts_of_hash})), {at}, 8), 16, 10) AS DOUBLE) / 4294967296D"
+             for at in (1, 9)]
+    width = range(len(features))
+    ranges = [f"{fn}(_x[{j}]) {over} AS _{end}{j}" for j in width for fn, end in (("min", "lo"), ("max", "hi"))]
+    varies = [f"CAST(_hi{j} > _lo{j} AS INT)" for j in width]
+    # the draw counts the features that vary in a node; the drawn one of them is split at a uniform point
+    draw = f"CASE WHEN size IS NULL AND _n > 1 THEN CAST(floor({draws[0]} * ({' + '.join(varies)})) AS INT) END AS _draw"
+    picks = " ".join(
+        f"WHEN {varies[j]} = 1 AND _draw = {' + '.join(varies[:j]) or '0'} THEN struct({j} AS j, _lo{j} + {draws[1]} * (_hi{j} - _lo{j}) AS cut)"
+        for j in width)
+    walk = walk.selectExpr(
+        *id_cols, "1L AS node", "0 AS depth", "CAST(NULL AS BIGINT) AS size",
+        "CAST(array() AS ARRAY<STRUCT<node: BIGINT, feature: INT, split: DOUBLE>>) AS splits")
+    for _ in range(tree_depth(config.sample)):
+        walk = walk.selectExpr("*", f"count(1) {over} AS _n", *ranges).selectExpr("*", draw).selectExpr(
+            "*", f"CASE {picks} END AS _s").selectExpr(
+            *id_cols,
+            "CASE WHEN _s IS NULL THEN node WHEN _x[_s.j] < _s.cut THEN node * 2 ELSE node * 2 + 1 END AS node",
+            "CASE WHEN _s IS NULL THEN depth ELSE depth + 1 END AS depth",
+            "CASE WHEN size IS NULL AND _s IS NULL THEN _n ELSE size END AS size",
+            "CASE WHEN _s IS NULL THEN splits ELSE concat(splits, array(struct(node, _s.j AS feature, _s.cut AS split))) END AS splits")
+    walk = walk.withColumn("size", F.expr(f"coalesce(size, count(1) {over})"))
+    return walk.withColumnRenamed("_row", row_key).drop("_x", "_grp")
 
 
 def leaf_path(config: ForestConfig) -> Column:
-    extra = harmonic_path(F.col("size")) if config.leaf_correction else F.lit(0.0)
+    extra = harmonic_path(F.col("size"), config.sample) if config.leaf_correction else F.lit(0.0)
     return F.col("depth") + extra
 
 
@@ -143,6 +144,11 @@ def path_length(trees: Column, x: Column, depth: int) -> Column:
     return F.aggregate(paths, F.lit(0.0), lambda a, p: a + p) / F.size(trees)
 
 
+def _raw(path: Column, c: Column) -> Column:
+    # rounded so that equal mean paths tie exactly, whatever the order in which the trees were summed
+    return F.round(F.when(c > 0, F.pow(F.lit(2.0), -path / c)).otherwise(0.0), 12)
+
+
 def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str], keys: Sequence[str] = ("asset_id",),
                config: ForestConfig = ForestConfig(), normaliser: Column | None = None) -> DataFrame:
     """Adds raw_score = 2^(-mean path / c) for any rows, seen or unseen in training.
@@ -156,9 +162,9 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str], keys:
         held = df.join(forest, keys)
     else:
         held = df.withColumn("_one", F.lit(1)).join(F.broadcast(forest.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    c = harmonic_path(F.col("psi")) if normaliser is None else normaliser
+    c = harmonic_path(F.col("psi"), config.sample) if normaliser is None else normaliser
     path = path_length(F.col("trees"), x, tree_depth(config.sample))
-    return held.withColumn("raw_score", F.when(c > 0, F.pow(F.lit(2.0), -path / c)).otherwise(0.0)).drop("trees", "psi")
+    return held.withColumn("raw_score", _raw(path, c)).drop("trees", "psi")
 
 
 def score_training(grown: DataFrame, row_key: str, keys: Sequence[str] = ("asset_id",),
@@ -167,16 +173,24 @@ def score_training(grown: DataFrame, row_key: str, keys: Sequence[str] = ("asset
     keys = list(keys)
     sized = grown.withColumn("_psi", F.count(F.lit(1)).over(Window.partitionBy(*keys, "tree")))
     out = sized.groupBy(*keys, row_key).agg(F.avg(leaf_path(config)).alias("path"), F.max("_psi").alias("psi"))
-    c = harmonic_path(F.col("psi"))
-    return out.select(*keys, row_key, F.when(c > 0, F.pow(F.lit(2.0), -F.col("path") / c)).otherwise(0.0).alias("raw_score"))
+    return out.select(*keys, row_key, _raw(F.col("path"), harmonic_path(F.col("psi"), config.sample)).alias("raw_score"))
 
 
 def calibrate(scores: DataFrame, keys: Sequence[str] = ("asset_id",), config: ForestConfig = ForestConfig(),
-              exact: str = "sort") -> DataFrame:
-    """Adds iso_score in 0..1: distance above the lower percentile over a widened range, bent by a power."""
+              exact: str = "window") -> DataFrame:
+    """Adds iso_score in 0..1: distance above the lower percentile over a widened range, bent by a power.
+
+    "window" suits bounded groups that are already partitioned by the key (no further shuffle); use "bracket" for scores
+    of raw telemetry.
+    """
     lo, hi, widen, power = config.calibration
-    q = group_percentiles(scores, keys, "raw_score", {"_lo": lo, "_hi": hi}, exact).drop("n")
+    keys = list(keys)
+    if exact == "window":
+        q = F.percentile("raw_score", F.array(F.lit(lo), F.lit(hi))).over(Window.partitionBy(*keys))
+        joined = scores.withColumn("_q", q).withColumns({"_lo": F.col("_q")[0], "_hi": F.col("_q")[1]}).drop("_q")
+    else:
+        q = group_percentiles(scores, keys, "raw_score", {"_lo": lo, "_hi": hi}, exact).drop("n")
+        joined = scores.join(q, keys)
     width = F.greatest((F.col("_hi") - F.col("_lo")) * widen, F.lit(1e-9))
-    joined = scores.join(q, list(keys))
     return joined.withColumn("iso_score", F.pow(clamp((F.col("raw_score") - F.col("_lo")) / width, 0, 1), F.lit(power))
                              ).drop("_lo", "_hi")

@@ -31,45 +31,50 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ())
     return df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull()).groupBy(*by).agg(*regression_aggs(y, yhat))
 
 
-def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), bins: int = 4096, lo: float = 0.0,
-        hi: float = 1.0) -> DataFrame:
-    """Rank-sum ROC-AUC with average ranks for ties; 0.5 when a class is absent.
+_CONFUSION = ("tp", "fp", "fn", "tn")
+
 
-    Equal scores collapse to one row in the map tasks. The running count goes over coarse score bins per group first and
-    over the distinct scores of one bin second, so no task orders a whole group.
+def _ranked_sums(df: DataFrame, label: Column, score: Column, by: list[str], counts: Sequence[Column], names: Sequence[str],
+                 bins: int, lo: float, hi: float) -> DataFrame:
+    """One row per group: the named counts and `roc_auc`, in a single chain of aggregates.
+
+    Equal scores collapse to one row in the map tasks. Negatives below a score are counted inside one coarse score bin
+    first and over the bins of a group second, so no task orders a whole group.
     """
-    by = list(by)
-    place = F.floor(clamp((F.col(score) - lo) / (hi - lo), 0, 1) * (bins - 1)).cast("int")
-    value = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, place.alias("_bin"), F.col(score).alias("_v")).agg(
-        F.count_if(F.col(label)).alias("_p"), F.count_if(~F.col(label)).alias("_n"))
-    coarse = value.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bn"))
-    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(*by, "_bin", F.coalesce(F.sum("_bn").over(below), F.lit(0)).alias("_before"))
+    place = F.floor(clamp((score - lo) / (hi - lo), 0, 1) * (bins - 1)).cast("int")
+    value = df.where(score.isNotNull() & label.isNotNull()).groupBy(*by, place.alias("_bin"), score.alias("_v")).agg(
+        F.count_if(label).alias("_p"), F.count_if(~label).alias("_n"), *[c.alias(n) for c, n in zip(counts, names)])
     inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = value.join(coarse, [*by, "_bin"]).withColumn("_below", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    sums = ranked.groupBy(*by).agg(
-        F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_n"))).alias("_u"), F.sum("_p").cast("double").alias("_P"),
-        F.sum("_n").cast("double").alias("_N"))
-    return sums.select(*by, F.coalesce(F.try_divide(F.col("_u"), F.col("_P") * F.col("_N")), F.lit(0.5)).alias("roc_auc"))
+    value = value.withColumn("_below", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    per_bin = value.groupBy(*by, "_bin").agg(
+        F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_n"))).alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"),
+        *[F.sum(n).alias(n) for n in names])
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = per_bin.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    pairs = F.sum("_p").cast("double") * F.sum("_n")
+    return per_bin.groupBy(*by).agg(
+        F.coalesce(F.try_divide(F.sum("_u"), pairs), F.lit(0.5)).alias("roc_auc"), *[F.sum(n).alias(n) for n in names])
+
+
+def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), bins: int = 4096, lo: float = 0.0,
+        hi: float = 1.0) -> DataFrame:
+    """Rank-sum ROC-AUC with average ranks for ties; 0.5 when a class is absent. Bins only steer parallelism."""
+    return _ranked_sums(df, F.col(label), F.col(score), list(by), [], [], bins, lo, hi)
 
 
 def classification_metrics(df: DataFrame, label: str, pred: str, score: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts, precision, recall, F1, accuracy, FPR and, with a score, ROC-AUC."""
+    """Confusion counts, precision, recall, F1, accuracy, FPR and, with a score, ROC-AUC; one pass over the rows."""
     by = list(by)
     y, p = F.col(label), F.col(pred)
-    out = df.groupBy(*by).agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
-        F.count_if(~y & ~p).alias("tn"))
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    out = out.withColumns({
+    counts = [F.count_if(y & p), F.count_if(~y & p), F.count_if(y & ~p), F.count_if(~y & ~p)]
+    if score is None:
+        out = df.groupBy(*by).agg(*[c.alias(n) for c, n in zip(counts, _CONFUSION)])
+    else:
+        out = _ranked_sums(df, y, F.col(score), by, counts, _CONFUSION, 4096, 0.0, 1.0)
+    tp, fp, fn, tn = (F.col(c) for c in _CONFUSION)
+    return out.withColumns({
         "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn), "accuracy": _ratio(tp + tn, tp + fp + fn + tn),
         "false_positive_rate": _ratio(fp, fp + tn), "f1": _ratio(2 * tp, 2 * tp + fp + fn), "n": tp + fp + fn + tn})
-    if score is None:
-        return out
-    area = auc(df, label, score, by)
-    if by:
-        return out.join(area, by)
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(area.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def forecast_accuracy(df: DataFrame, y: str, yhat: str, step: str = "step", by: Sequence[str] = (),
