@@ -366,4 +366,4 @@ def data_checks(spark, sf):
 , a AS (SELECT asset_id, timestamp, lag(timestamp) OVER (PARTITION BY asset_id ORDER BY event_id) AS prev FROM events_telemetry)
 SELECT asset_id, count(*) FILTER (WHERE timestamp < prev) AS out_of_order FROM a GROUP BY 1""")
 def out_of_order(spark, sf):
-    return quality.out_of_order(b.events_telemetry(spark, sf), ["event_id"])
+    return quality.out_of_order(b.events_telemetry(spark, sf), ["event_id"], 1000)

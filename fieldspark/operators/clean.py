@@ -12,6 +12,7 @@ from fieldspark.functions.columns import safe_div
 from fieldspark.operators import sliced
 from fieldspark.operators.quantiles import group_percentiles
 from fieldspark.schema import MEASURES
+from fieldspark.session import cut_lineage, join_checked, scratch_path
 
 KEY = ("asset_id", "timestamp")
 
@@ -108,23 +109,27 @@ def outlier_flags(
 ) -> DataFrame:
     """Adds `is_outlier`. MAD z-score with a population-std fallback, or the IQR rule.
 
-    Statistics come from aggregates joined back on the key, never from a window over all rows of an asset.
+    Statistics come from aggregates joined back on the key, never from a window over all rows of an asset. With exact
+    "bracket" the statistics (one row per key) are pinned, so the rows are read five times and shuffled not at all while
+    there are few enough keys to broadcast them; "sort" is one lazy plan for bounded groups.
     """
     keys = list(keys)
+    pin = cut_lineage if exact == "bracket" else (lambda d: d)
+    join = join_checked if exact == "bracket" else (lambda d, side, on, how: d.join(side, on, how))
     if method == "iqr":
-        q = group_percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}, exact).drop("n")
+        q = pin(group_percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}, exact).drop("n"))
         spread = F.col("_q3") - F.col("_q1")
         bad = (F.col(value) < F.col("_q1") - k * spread) | (F.col(value) > F.col("_q3") + k * spread)
-        return df.join(q, keys, "left").withColumn("is_outlier", F.coalesce(bad, F.lit(False))).drop("_q1", "_q3")
-    med = group_percentiles(
+        return join(df, q, keys, "left").withColumn("is_outlier", F.coalesce(bad, F.lit(False))).drop("_q1", "_q3")
+    med = pin(group_percentiles(
         df, keys, value, {"_med": 0.5}, exact,
-        extra=[F.stddev_pop(value).alias("_std"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]).drop("n")
+        extra=[F.stddev_pop(value).alias("_std"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]).drop("n"))
     dev = F.abs(F.col(value) - F.col("_med"))
-    centred = df.join(med, keys, "left").withColumn("_dev", dev)
-    mad = group_percentiles(centred.select(*keys, "_dev"), keys, "_dev", {"_mad": 0.5}, exact).drop("n")
+    centred = join(df, med, keys, "left").withColumn("_dev", dev)
+    mad = pin(group_percentiles(centred.select(*keys, "_dev"), keys, "_dev", {"_mad": 0.5}, exact).drop("n"))
     z = F.when(F.col("_mad") > 0, 0.6745 * F.col("_dev") / F.when(F.col("_mad") > 0, F.col("_mad"))).when(
         (F.col("_hi") > F.col("_lo")) & (F.col("_std") > 0), safe_div(F.col("_dev"), F.col("_std")))
-    return (centred.join(mad, keys, "left").withColumn("is_outlier", F.coalesce(z > threshold, F.lit(False)))
+    return (join(centred, mad, keys, "left").withColumn("is_outlier", F.coalesce(z > threshold, F.lit(False)))
             .drop("_med", "_std", "_lo", "_hi", "_dev", "_mad"))
 
 
@@ -173,8 +178,13 @@ def chrono_split(df: DataFrame, train_fraction: float = 0.8, order: Sequence[str
     return numbered.withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_rn", "_n")
 
 
-def clean(df: DataFrame, order: Sequence[str], config: CleanConfig = CleanConfig()) -> tuple[DataFrame, Observation]:
-    """The full cleaning order; the observation holds the counts of the row-level steps once the frame is used."""
+def clean(df: DataFrame, order: Sequence[str], config: CleanConfig = CleanConfig(), stage: bool = True) -> tuple[DataFrame, Observation]:
+    """The full cleaning order; the observation holds the counts of the row-level steps once the frame is used.
+
+    Imputation and outlier statistics read the rows several times. With `stage` the de-duplicated rows are written once to
+    a table in the shared folder and those passes read only the columns they need from it; without, the plan stays lazy up
+    to the pinned statistics and repeats the steps before.
+    """
     seen = Observation("clean")
     stamped = convert_units(normalize_ts(df), config.unit_factors)
     missing = ~_required()
@@ -189,6 +199,10 @@ def clean(df: DataFrame, order: Sequence[str], config: CleanConfig = CleanConfig
     out = validate_units(enforce_positive(drop_missing_required(counted), config.positive_only))
     if config.dedupe:
         out = dedupe(out, order, config.keep)
+    if stage and (config.impute or config.remove_outliers):
+        place = scratch_path(df.sparkSession, "clean")
+        out.write.parquet(place)
+        out = df.sparkSession.read.parquet(place)
     if config.impute:
         out = impute_time(out)
     if config.remove_outliers:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.operators.sliced import over_slices
 from fieldspark.schema import STANDARD
 
 
@@ -108,14 +109,11 @@ def run_checks(df: DataFrame, assets: DataFrame, now: Column) -> DataFrame:
     return long.unionByName(dups).unionByName(orphans)
 
 
-def out_of_order(df: DataFrame, arrival: Sequence[str], slice_unit: str | None = None) -> DataFrame:
+def out_of_order(df: DataFrame, arrival: Sequence[str], slice_unit: str | float | None = 1_000_000) -> DataFrame:
     """Per asset: rows whose timestamp is before that of the row that arrived just before them.
 
-    With slice_unit None the arrival order of an asset is one window; use it on bounded panels. For larger data give a
-    timestamp column as the first arrival column and a unit to split it by.
+    An asset is split over slices of the first arrival column: a width for a number, a calendar unit for a time.
     """
-    from fieldspark.operators.sliced import over_slices
-
     flagged = over_slices(
         df.select("asset_id", "timestamp", *[c for c in arrival if c not in ("asset_id", "timestamp")]),
         ["asset_id"], list(arrival), lambda w: {"_prev": F.lag("timestamp").over(w)}, 1, arrival[0], slice_unit)

@@ -2,7 +2,8 @@
 
 method "sort" uses the built-in exact percentile, which keeps every distinct value of a group in one task; use it for
 bounded groups. method "bracket" takes a bounded sketch first, keeps only the rows between the two sketch values around
-each wanted rank, and counts the rest; the answer is the same, without a group ever being held whole.
+each wanted rank, and counts the rest; the answer is the same, without a group ever being held whole. It reads the rows
+twice; the sketch (one row per group) is pinned by a checkpoint in between, which runs a job.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.session import cut_lineage, join_checked
+
 _ACCURACY = 10000
 _MARGIN = 0.001
 _SMALL = 5000
@@ -28,37 +31,28 @@ def group_percentiles(
         return out.withColumns({name: F.col("_q")[i] for i, name in enumerate(probs)}).drop("_q")
     if not keys:
         one = df.withColumn("_all", F.lit(1))
-        return _bracketed(one, ["_all"], value, probs, extra, single=True).drop("_all")
+        return _bracketed(one, ["_all"], value, probs, extra).drop("_all")
     return _bracketed(df, list(keys), value, probs, extra)
 
 
-def _same(keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-    return out
-
-
-def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], extra: Sequence[Column],
-               single: bool = False) -> DataFrame:
+def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], extra: Sequence[Column]) -> DataFrame:
     cuts: list[float] = []
     for p in probs.values():
         cuts += [max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0)]
-    sketch = df.groupBy(*keys).agg(
+    sketch = cut_lineage(df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(
         F.count(value).alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
         F.percentile_approx(value, [float(c) for c in cuts], _ACCURACY).alias("_cut"), *extra,
-    )
+    ))
     small = F.col("n") <= _SMALL
     brackets = sketch.select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys],
+        *keys,
         *[F.struct(
             F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i]).alias("lo"),
             F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1]).alias("hi"),
         ).alias(f"_r{i}") for i in range(len(probs))],
     )
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    side = F.broadcast if single else (lambda d: d)  # a hint only where the side is one row
-    rows = rows.join(side(brackets), _same(keys))
+    rows = join_checked(rows, brackets, keys)
     # one count per (key, rank, value) inside its bracket; one count per (key, rank) below it
     zones = F.array(*[
         F.struct(F.lit(i).alias("i"),
@@ -73,8 +67,7 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, floa
     order = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.select(*keys, "_i", "_v", F.sum("_c").over(upto).alias("_upto"))
-    sizes = sketch.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("n").alias("_n"))
-    ranked = ranked.join(side(sizes), _same(keys)).drop(*[f"_b_{k}" for k in keys])
+    ranked = ranked.join(sketch.select(*keys, F.col("n").alias("_n")), keys)
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_i") + 1)
     pos = prob * (F.col("_n") - 1)
     ranked = ranked.withColumn("_pos", pos)
@@ -88,6 +81,4 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, floa
         .otherwise(low + (high - low) * weight).alias("_q"))
     wide = exact.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)])
-    base = sketch.drop("_min", "_max", "_cut")
-    renamed = wide.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *probs)
-    return base.join(side(renamed), _same(keys), "left").drop(*[f"_b_{k}" for k in keys])
+    return sketch.drop("_min", "_max", "_cut").join(wide, keys, "left")

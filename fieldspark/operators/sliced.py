@@ -16,8 +16,10 @@ SLICE = "_slice"
 HALO = "_halo"
 
 
-def add_slice(df: DataFrame, time_col: str, unit: str = "day") -> DataFrame:
-    return df.withColumn(SLICE, F.date_trunc(unit, F.col(time_col)))
+def add_slice(df: DataFrame, time_col: str, unit: str | float = "day") -> DataFrame:
+    """Slices of a calendar unit for a time column, or of a width for a number."""
+    at = F.date_trunc(unit, F.col(time_col)) if isinstance(unit, str) else F.floor(F.col(time_col) / F.lit(unit))
+    return df.withColumn(SLICE, at)
 
 
 def row_numbers(
@@ -45,7 +47,7 @@ def row_numbers(
 
 
 def with_halo(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col: str, back: int, unit: str = "day",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col: str, back: int, unit: str | float = "day",
 ) -> DataFrame:
     """Rows plus, per slice, copies (`_halo` true) of the `back` rows that precede the slice."""
     sliced = add_slice(df, time_col, unit)
@@ -67,7 +69,7 @@ def with_halo(
 
 def over_slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: Callable[[Window], dict[str, Column]],
-    back: int, time_col: str, unit: str | None = "day",
+    back: int, time_col: str, unit: str | float | None = "day",
 ) -> DataFrame:
     """Add window expressions that look at most `back` rows behind.
 

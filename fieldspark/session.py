@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,5 +37,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a narrow per-key table: broadcast when its counted size is within the bound, a plain equi-join otherwise.
+
+    The broadcast spares shuffling the rows of a very frequent key; in the plain join adaptive execution splits such a key.
+    `side` should be pinned (see cut_lineage), so that counting it is cheap.
+    """
+    small = side.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(side) if small else side, list(keys), how)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
