@@ -83,7 +83,7 @@ SELECT p.asset_id, rk AS t, round(power(2, -path / {HARM_PSI}), 6) AS raw_score
 def iforest_unseen(spark, sf):
     """Forests grown on 32 sampled months per asset; every month is scored through the packed trees."""
     rows = feats(spark, sf)
-    forest = iforest.pack(iforest.grow(rows, "t", FEATS, config=SUB, presample=True), config=SUB)
+    forest = iforest.pack(iforest.grow_nodes(rows, "t", FEATS, config=SUB, presample=True), config=SUB)
     return rounded(iforest.score_rows(rows, forest, FEATS, config=SUB).select("asset_id", "t", "raw_score"))
 
 

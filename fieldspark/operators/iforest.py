@@ -1,10 +1,9 @@
-"""Isolation forest as DataFrame steps.
+"""Isolation forest over Spark groups.
 
-Every (row, tree) pair walks down one level per step. All windows of a level share the partitioning by key and tree
-group, so the whole build is one shuffle followed by local sorts; no join and no lineage cut is needed, because a level
-reads the one before it exactly once. Rows are copied once per tree group before the shuffle and once per tree after it,
-so the trees of one key spread over several tasks without shuffling every (row, tree) pair. A tree node never holds more
-than the sample size, and the sample is taken by hash order, so the forest does not depend on partitioning or input order.
+Spark samples, partitions and groups; one group is (key, tree group) with at most the sample size of rows per tree, and
+its trees are grown by a small array helper. Rows are copied once per tree group, so the trees of one key spread over
+several tasks. Scores of trained rows come straight from the leaves; other rows walk packed trees in column expressions.
+The forest does not depend on partitioning, input order or task retries.
 """
 
 from __future__ import annotations
@@ -12,15 +11,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldspark.config import ForestConfig
+from fieldspark.functions import isolation
 from fieldspark.functions.columns import clamp
 from fieldspark.operators.quantiles import group_percentiles
 
-
-TREE_GROUPS = 8  # copies of a row that are shuffled; bounds the trees one task grows for one key
+TREE_GROUPS = 8  # copies of a row that are shuffled; the trees of one key are grown by as many tasks
 
 
 def average_path(n: Column) -> Column:
@@ -43,63 +46,88 @@ def tree_depth(sample: int) -> int:
     return max(int(math.ceil(math.log2(max(sample, 2)))), 1)
 
 
+def _groups(df: DataFrame, row_key: str, features: Sequence[str], keys: list[str], config: ForestConfig, presample: bool):
+    """Rows copied per tree group; with presample already cut to the sample, with a `tree` column."""
+    groups = min(TREE_GROUPS, config.trees)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = df.select(
+        *keys, F.col(row_key).alias("_row"), F.col(row_key).cast("string").alias("_rk"),
+        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_grp"))
+    if not presample and keys:
+        return copies.repartition(parts, *keys, "_grp").groupBy(*keys, "_grp")
+    mine = F.filter(F.sequence(F.lit(1), F.lit(config.trees)), lambda i: F.pmod(i, F.lit(groups)) == F.col("_grp"))
+    order = F.md5(F.concat_ws(":", F.lit(str(config.seed)), F.col("tree").cast("string"), F.col("_rk")))
+    pairs = copies.select("*", F.explode(mine).alias("tree")).withColumn("_h", order)
+    first = F.row_number().over(Window.partitionBy(*keys, "_grp", "tree").orderBy("_h", "_rk"))
+    return pairs.withColumn("_rn", first).where(F.col("_rn") <= config.sample).drop("_h", "_rn").groupBy(*keys, "_grp")
+
+
+def _grow_with(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str], config: ForestConfig, presample: bool,
+               splits: bool) -> DataFrame:
+    keys = list(keys)
+    fields = [df.schema[k] for k in keys] + [T.StructField("tree", T.IntegerType())]
+    if splits:
+        fields += [T.StructField("node", T.LongType()), T.StructField("feature", T.IntegerType()), T.StructField("split", T.DoubleType()),
+                   T.StructField("depth", T.IntegerType()), T.StructField("size", T.LongType())]
+    else:
+        fields += [T.StructField(row_key, df.schema[row_key].dataType), T.StructField("node", T.LongType()),
+                   T.StructField("depth", T.IntegerType()), T.StructField("size", T.LongType())]
+    schema = T.StructType([*fields, T.StructField("psi", T.LongType())])
+    out_types = to_arrow_schema(schema)
+    width, groups, levels, n_keys = len(features), min(TREE_GROUPS, config.trees), tree_depth(config.sample), len(keys)
+    trees_all, sample, seed = config.trees, config.sample, config.seed
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        values = [k.as_py() for k in key[:n_keys]]
+        group = key[n_keys].as_py()
+        flat = table.column("_x").combine_chunks().flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        if "tree" in table.column_names:
+            tree, row = table.column("tree").to_numpy().astype(np.int64), np.arange(table.num_rows)
+        else:
+            mine = [t for t in range(1, trees_all + 1) if t % groups == group]
+            tree, row = isolation.sample_rows(table.column("_rk").to_pylist(), mine, sample, seed)
+        prefix = ":".join([str(seed), *[str(v) for v in values]]) + ":"
+        node, depth, size, cuts = isolation.grow(x, tree, row, levels, prefix)
+        ids, counts = np.unique(tree, return_counts=True)
+        psi = dict(zip(ids.tolist(), counts.tolist()))
+        if splits:
+            leaves = {(int(t), int(n)): (int(d), int(z)) for t, n, d, z in zip(tree, node, depth, size)}
+            records = [(t, n, f, c, None, None, psi[t]) for t, n, f, c in cuts]
+            records += [(t, n, None, None, d, z, psi[t]) for (t, n), (d, z) in leaves.items()]
+            cols = [list(c) for c in zip(*records)]
+        else:
+            cols = [tree, table.column("_row").take(pa.array(row)), node, depth, size, np.array([psi[t] for t in tree.tolist()])]
+        total = len(cols[0])
+        arrays = [pa.array([v] * total, type=out_types.field(i).type) for i, v in enumerate(values)]
+        for i, c in enumerate(cols):
+            kind = out_types.field(n_keys + i).type
+            arrays.append(c.cast(kind).combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c, type=kind))
+        return pa.Table.from_arrays(arrays, names=out_types.names)
+
+    return _groups(df, row_key, features, keys, config, presample).applyInArrow(build, schema)
+
+
 def grow(
     df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str] = ("asset_id",),
     config: ForestConfig = ForestConfig(), presample: bool = False,
 ) -> DataFrame:
-    """One row per (key, tree, sampled row): leaf id, depth, leaf size and the splits on its way.
+    """One row per (key, tree, sampled row): leaf id, depth, leaf size and the sample size `psi`.
 
     A row joins a tree's sample when it is among the `sample` smallest hashes of (seed, tree, row). With presample the
-    sample is cut before the shuffle on the key (needed when a key may hold many more rows than the sample; the limit is
-    applied inside the map tasks); without it the key's rows are shuffled once, which suits monthly panels.
+    sample is cut before the shuffle, inside the map tasks; use it where a key may hold many more rows than the sample.
+    Without it a key's rows travel whole, which suits monthly panels. A feature that is NULL for a key is never split.
     """
-    keys = list(keys)
-    seed = F.lit(config.seed)
-    rows = df.select(*keys, F.col(row_key).alias("_row"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = min(TREE_GROUPS, config.trees)
-    group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_grp")
-    mine = F.filter(F.sequence(F.lit(1), F.lit(config.trees)), lambda i: F.pmod(i, F.lit(groups)) == F.col("_grp"))
-    order = F.md5(F.concat_ws(":", seed.cast("string"), F.col("tree").cast("string"), F.col("_row").cast("string")))
-    unit = [*keys, "_grp", "tree"]
-    chosen = F.row_number().over(Window.partitionBy(*unit).orderBy("_h", "_row"))
+    return _grow_with(df, row_key, features, keys, config, presample, splits=False)
 
-    def sampled(d: DataFrame) -> DataFrame:
-        return d.withColumn("_h", order).withColumn("_rn", chosen).where(F.col("_rn") <= config.sample).drop("_h", "_rn")
 
-    copies = rows.select("*", group)
-    if presample or not keys:
-        walk = sampled(copies.select("*", F.explode(mine).alias("tree"))).repartition(parts, *keys, "_grp")
-    else:
-        walk = sampled(copies.repartition(parts, *keys, "_grp").select("*", F.explode(mine).alias("tree")))
-    # SQL text per level: the same expressions through the column API cost seconds of driver time for a deep forest
-    id_cols = [f"`{c}`" for c in (*keys, "_grp", "tree", "_row", "_x")]
-    over = "OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in (*unit, "node")) + ")"
-    parts_of_hash = ", ".join([f"'{config.seed}'", *[f"CAST(`{k}` AS STRING)" for k in keys], "CAST(tree AS STRING)",
-                               "CAST(node AS STRING)"])
-    draws = [f"CAST(conv(substring(md5(concat_ws(':', {parts_of_hash})), {at}, 8), 16, 10) AS DOUBLE) / 4294967296D"
-             for at in (1, 9)]
-    width = range(len(features))
-    ranges = [f"{fn}(_x[{j}]) {over} AS _{end}{j}" for j in width for fn, end in (("min", "lo"), ("max", "hi"))]
-    varies = [f"CAST(_hi{j} > _lo{j} AS INT)" for j in width]
-    # the draw counts the features that vary in a node; the drawn one of them is split at a uniform point
-    draw = f"CASE WHEN size IS NULL AND _n > 1 THEN CAST(floor({draws[0]} * ({' + '.join(varies)})) AS INT) END AS _draw"
-    picks = " ".join(
-        f"WHEN {varies[j]} = 1 AND _draw = {' + '.join(varies[:j]) or '0'} THEN struct({j} AS j, _lo{j} + {draws[1]} * (_hi{j} - _lo{j}) AS cut)"
-        for j in width)
-    walk = walk.selectExpr(
-        *id_cols, "1L AS node", "0 AS depth", "CAST(NULL AS BIGINT) AS size",
-        "CAST(array() AS ARRAY<STRUCT<node: BIGINT, feature: INT, split: DOUBLE>>) AS splits")
-    for _ in range(tree_depth(config.sample)):
-        walk = walk.selectExpr("*", f"count(1) {over} AS _n", *ranges).selectExpr("*", draw).selectExpr(
-            "*", f"CASE {picks} END AS _s").selectExpr(
-            *id_cols,
-            "CASE WHEN _s IS NULL THEN node WHEN _x[_s.j] < _s.cut THEN node * 2 ELSE node * 2 + 1 END AS node",
-            "CASE WHEN _s IS NULL THEN depth ELSE depth + 1 END AS depth",
-            "CASE WHEN size IS NULL AND _s IS NULL THEN _n ELSE size END AS size",
-            "CASE WHEN _s IS NULL THEN splits ELSE concat(splits, array(struct(node, _s.j AS feature, _s.cut AS split))) END AS splits")
-    walk = walk.withColumn("size", F.expr(f"coalesce(size, count(1) {over})"))
-    return walk.withColumnRenamed("_row", row_key).drop("_x", "_grp")
+def grow_nodes(
+    df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str] = ("asset_id",),
+    config: ForestConfig = ForestConfig(), presample: bool = False,
+) -> DataFrame:
+    """The same forest as a node table: inner nodes with feature and split, leaves with depth and size."""
+    return _grow_with(df, row_key, features, keys, config, presample, splits=True)
 
 
 def leaf_path(config: ForestConfig) -> Column:
@@ -107,27 +135,22 @@ def leaf_path(config: ForestConfig) -> Column:
     return F.col("depth") + extra
 
 
-def pack(grown: DataFrame, keys: Sequence[str] = ("asset_id",), config: ForestConfig = ForestConfig()) -> DataFrame:
-    """One row per key: `trees`, arrays of nodes with child positions (0 marks a leaf), and the sample size `psi`.
+def pack(nodes: DataFrame, keys: Sequence[str] = ("asset_id",), config: ForestConfig = ForestConfig()) -> DataFrame:
+    """Node table -> one row per key: `trees`, arrays of nodes with child positions (0 marks a leaf), and `psi`.
 
     Bounded by trees x twice the sample size.
     """
     keys = list(keys)
-    inner = grown.select(*keys, "tree", F.explode("splits").alias("s")).groupBy(*keys, "tree", F.col("s.node").alias("node")).agg(
-        F.first("s.feature").alias("feature"), F.first("s.split").alias("split"), F.lit(0.0).alias("path"))
-    leaves = grown.groupBy(*keys, "tree", "node").agg(
-        F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("split"), F.max(leaf_path(config)).alias("path"))
-    nodes = inner.unionByName(leaves).groupBy(*keys, "tree").agg(
-        F.array_sort(F.collect_list(F.struct("node", "feature", "split", "path"))).alias("n"))
-    ids = nodes.withColumn("_ids", F.transform("n", lambda x: x["node"]))
-    linked = ids.select(*keys, "tree", F.transform("n", lambda x: F.struct(
+    path = F.when(F.col("feature").isNull(), leaf_path(config)).otherwise(0.0)
+    per_tree = nodes.withColumn("path", path).groupBy(*keys, "tree").agg(
+        F.array_sort(F.collect_list(F.struct("node", "feature", "split", "path"))).alias("n"), F.max("psi").alias("psi"))
+    ids = per_tree.withColumn("_ids", F.transform("n", lambda x: x["node"]))
+    linked = ids.select(*keys, "tree", "psi", F.transform("n", lambda x: F.struct(
         x["feature"].alias("feature"), x["split"].alias("split"), x["path"].alias("path"),
         F.when(x["feature"].isNull(), 0).otherwise(F.array_position("_ids", x["node"] * 2)).cast("int").alias("left"),
         F.when(x["feature"].isNull(), 0).otherwise(F.array_position("_ids", x["node"] * 2 + 1)).cast("int").alias("right"),
     )).alias("nodes"))
-    sizes = grown.groupBy(*keys, "tree").agg(F.count(F.lit(1)).alias("psi"))
-    both = linked.join(sizes, [*keys, "tree"])
-    return both.groupBy(*keys).agg(
+    return linked.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tree", "nodes"))), lambda t: t["nodes"]).alias("trees"),
         F.max("psi").alias("psi"))
 
@@ -171,8 +194,7 @@ def score_training(grown: DataFrame, row_key: str, keys: Sequence[str] = ("asset
                    config: ForestConfig = ForestConfig()) -> DataFrame:
     """(key, row, raw_score) for rows that are in every sample, straight from the build, without a second walk."""
     keys = list(keys)
-    sized = grown.withColumn("_psi", F.count(F.lit(1)).over(Window.partitionBy(*keys, "tree")))
-    out = sized.groupBy(*keys, row_key).agg(F.avg(leaf_path(config)).alias("path"), F.max("_psi").alias("psi"))
+    out = grown.groupBy(*keys, row_key).agg(F.avg(leaf_path(config)).alias("path"), F.max("psi").alias("psi"))
     return out.select(*keys, row_key, _raw(F.col("path"), harmonic_path(F.col("psi"), config.sample)).alias("raw_score"))
 
 

@@ -55,13 +55,11 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, floa
     rows = join_checked(rows, brackets, keys)
     # one count per (key, rank, value) inside its bracket; one count per (key, rank) below it
     zones = F.array(*[
-        F.struct(F.lit(i).alias("i"),
-                 F.when(F.col("_v") < F.col(f"_r{i}.lo"), None).otherwise(F.col("_v")).alias("v"))
+        F.when(F.col("_v") < F.col(f"_r{i}.lo"), F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
+        .when(F.col("_v") <= F.col(f"_r{i}.hi"), F.struct(F.lit(i).alias("i"), F.col("_v").cast("double").alias("v")))
         for i in range(len(probs))])
-    reach = F.filter(zones, lambda z: z["v"].isNull() | F.array(
-        *[F.col("_v") <= F.col(f"_r{i}.hi") for i in range(len(probs))])[z["i"]])
     counted = (
-        rows.select(*keys, F.explode(reach).alias("_z"))
+        rows.select(*keys, F.explode(zones).alias("_z")).where(F.col("_z").isNotNull())
         .groupBy(*keys, F.col("_z.i").alias("_i"), F.col("_z.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
     order = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())

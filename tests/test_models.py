@@ -124,7 +124,7 @@ def _forest_input(spark):
 def test_forest_ranks_an_outlier_first(spark):
     cfg = ForestConfig(trees=25, sample=64)
     df = _forest_input(spark)
-    forest = iforest.pack(iforest.grow(df, "t", ["x", "y"], config=cfg, presample=True), config=cfg)
+    forest = iforest.pack(iforest.grow_nodes(df, "t", ["x", "y"], config=cfg, presample=True), config=cfg)
     top = iforest.score_rows(df, forest, ["x", "y"], config=cfg).where("asset_id = 'A'").orderBy(F.desc("raw_score")).first()
     assert top.t == 200 and 0.5 < top.raw_score <= 1
 
