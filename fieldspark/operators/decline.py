@@ -10,13 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.config import DAYS_PER_MONTH, HORIZON_DAYS
+from fieldspark.functions import curve_search
 from fieldspark.functions.columns import clamp, hyperbolic_rate
 from fieldspark.functions.curve_search import B_MAX, B_MIN, DI_MAX, DI_MIN, fit_batch, grid_batch
 
+cloudpickle.register_pickle_by_value(curve_search)  # the helper travels with the task; executors need no installed package
+
 MIN_POINTS = 6
 
 

@@ -8,7 +8,7 @@ split over time slices with identical results.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,25 +98,25 @@ def calendar_factors(panel: DataFrame, value: str = "actual", period: str = "per
     return per.select(*keys, "overall", "m", months).select(*keys, "month", factor.alias("factor"))
 
 
-def anomaly_features(panel: DataFrame, order: str = "period", keys: Sequence[str] = ASSET,
-                     slice_unit: str | None = None) -> DataFrame:
+def detector_exprs(w) -> dict[str, Column]:
+    prev = F.lag("actual").over(w)
+    return {
+        "rolling_mean": F.avg("actual").over(w.rowsBetween(-2, 0)),
+        "rolling_std": F.coalesce(F.stddev_samp("actual").over(w.rowsBetween(-2, 0)), F.lit(0.0)),
+        "change_rate": F.coalesce(safe_div(F.col("actual") - prev, prev), F.lit(0.0)),
+    }
+
+
+def anomaly_features(panel: DataFrame, order: str = "period", keys: Sequence[str] = ASSET, slice_unit: str | float | None = None,
+                     more: Callable | None = None, back: int = 2) -> DataFrame:
     """Detector features: level, deviation fraction, rolling mean and sample std of three, change on the month before.
 
     Rows without actual or expected are dropped first. The change keeps its sign (a decline is negative), unlike
-    `decline_rate` of the telemetry features.
+    `decline_rate` of the telemetry features. `more` adds expressions over the same window that look `back` rows behind.
     """
     rows = panel.where(F.col("actual").isNotNull() & F.col("expected").isNotNull())
-
-    def exprs(w) -> dict[str, Column]:
-        prev = F.lag("actual").over(w)
-        return {
-            "rolling_mean": F.avg("actual").over(w.rowsBetween(-2, 0)),
-            "rolling_std": F.coalesce(F.stddev_samp("actual").over(w.rowsBetween(-2, 0)), F.lit(0.0)),
-            "change_rate": F.coalesce(safe_div(F.col("actual") - prev, prev), F.lit(0.0)),
-        }
-
     rows = rows.withColumn("dev_fraction", deviation_fraction(F.col("actual"), F.col("expected")))
-    return over_slices(rows, list(keys), [order], exprs, 2, order, slice_unit)
+    return over_slices(rows, list(keys), [order], lambda w: detector_exprs(w) | (more(w) if more else {}), max(2, back), order, slice_unit)
 
 
 def coverage_zscores(panel: DataFrame, cols: Sequence[str], keys: Sequence[str] = ASSET) -> DataFrame:

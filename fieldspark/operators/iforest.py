@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from fieldspark.functions import isolation
 from fieldspark.functions.columns import clamp
 from fieldspark.operators.quantiles import group_percentiles
 
+cloudpickle.register_pickle_by_value(isolation)  # the helper travels with the task; executors need no installed package
+
 TREE_GROUPS = 8  # copies of a row that are shuffled; the trees of one key are grown by as many tasks
 
 

@@ -49,7 +49,11 @@ def row_numbers(
 def with_halo(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col: str, back: int, unit: str | float = "day",
 ) -> DataFrame:
-    """Rows plus, per slice, copies (`_halo` true) of the `back` rows that precede the slice."""
+    """Rows plus, per slice, copies (`_halo` true) of the `back` rows that precede the slice.
+
+    Reads its input twice. Chained calls multiply that, so put expressions with the same order into one call and store
+    intermediate tables between stages.
+    """
     sliced = add_slice(df, time_col, unit)
     cols = df.columns
     last = Window.partitionBy(*keys, SLICE).orderBy(*[F.col(c).desc() for c in order])

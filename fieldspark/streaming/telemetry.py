@@ -82,12 +82,10 @@ def attach_forecast(ticks: DataFrame, points: DataFrame, step: int = 1) -> DataF
 
 def tick_features(df: DataFrame, slice_unit: str | None = "day", window: int = 16) -> DataFrame:
     """Detector features per reading and `seen`, the number of buffered readings up to `window`."""
-    feats = anomaly_features(df, "timestamp", slice_unit=slice_unit)
-
     def seen(w) -> dict[str, Column]:
         return {"seen": F.count(F.lit(1)).over(w.rowsBetween(-(window - 1), 0)).cast("int")}
 
-    return over_slices(feats, ["asset_id"], ["timestamp"], seen, window - 1, "timestamp", slice_unit)
+    return anomaly_features(df, "timestamp", slice_unit=slice_unit, more=seen, back=window - 1)
 
 
 def _last_rows(df: DataFrame, n: int) -> DataFrame:
