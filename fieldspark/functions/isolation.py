@@ -1,8 +1,8 @@
 """Small numeric helper of the isolation forest: grow the trees of one bounded sample, level by level.
 
 All (row, tree) pairs of a level are handled at once with sorted segments. Random draws are hashes of (seed, key, tree,
-node), so they do not depend on task, order or retry. As window expressions the same build measured several times
-slower, because a deep tree has many tiny groups.
+node), so they do not depend on task, order or retry. As window expressions the whole query took about twice as
+long at sf0.1 (18 s against 9 s), because a deep tree has many tiny groups.
 """
 
 from __future__ import annotations
