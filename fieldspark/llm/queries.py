@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import line_runs, simhash_mih, source_mix, ss_packing
+from fieldspark.llm import ecoc_language, fm_quality, line_runs, pstable, rule_ledger, simhash_mih, source_mix, ss_packing, zstd_toxicity
+from fieldspark.llm.common import doc_crc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scored(rows: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    return rows.select("doc_id", (doc_crc(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
+                       (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op1_fm_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fm_quality.train(docs, table(spark, folder, "labels"), 3, 1)
+    return scored(fm_quality.score(docs, model), 3, 1, 0.5)
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = v.vec_id"""
+
+
+@query("op2_pstable_near_dedup", VECTORS_SQL)
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return pstable.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op3_zstd_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = zstd_toxicity.train(docs, table(spark, folder, "labels"), 4, 2)
+    return scored(zstd_toxicity.score(docs, model), 4, 2, 0.3)
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
@@ -48,6 +84,42 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op5_ecoc_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = ecoc_language.train(docs, 4, 2)
+    return ecoc_language.identify(docs, model, "doc_id").select(
+        "doc_id", (doc_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+RULES_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+grams AS (
+  SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM docs)),
+often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM docs LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words
+       OR word_chars > 20 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+FROM m"""
+
+
+@query("op6_rule_ledger", RULES_SQL)
+def rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, folder, "documents")), rule_ledger.STANDARD)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       rule_ledger.failed(rule_ledger.BASE).alias("base_failed"), "kept")
+
+
 @query("op7_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash_mih.near_groups(table(spark, folder, "documents"))
