@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import ecoc_language, fm_quality, line_runs, pstable, rule_ledger, simhash_mih, source_mix, ss_packing, zstd_toxicity
+from fieldspark.llm import ecoc_language, fm_quality, line_runs, phrase_automata, pstable, rule_ledger, simhash_mih, source_mix, ss_packing, zstd_toxicity
 from fieldspark.llm.common import doc_crc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,28 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+PASSAGES_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+wins AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)),
+gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS owner FROM wins) WHERE owner < doc_id),
+covered AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM gone, (SELECT unnest(range(0, 50)) AS k) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM docs),
+kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY i) AS t
+  FROM words LEFT JOIN (SELECT doc_id, unnest(places) AS i FROM covered) c USING (doc_id, i) WHERE c.i IS NULL GROUP BY words.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op8_phrase_automata", PASSAGES_SQL)
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = phrase_automata.dedup_passages(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def packing_config() -> ss_packing.PackConfig:
     return ss_packing.PackConfig(public_tokenizers.path("word_bpe_49k.json"))
 
