@@ -18,7 +18,7 @@ from fieldspark.llm.labelled import Adam, sigmoid
 @dataclass(frozen=True)
 class EcocConfig:
     #: rows that the classifiers are fitted on, over all languages together, at most 1.2 times as many
-    rows: int = 4_000
+    rows: int = 2_000
     pair_buckets: int = 1024
     triple_buckets: int = 4096
     #: bits of a random code for many languages: this many times log2 of their number
@@ -102,8 +102,8 @@ class EcocModel:
         return self.languages[best], score, margin < self.cfg.margin
 
 
-def fit(rows: list[tuple[str, np.ndarray]], cfg: EcocConfig) -> EcocModel:
-    """One logistic classifier for each bit, all fitted together; languages weigh alike."""
+def fit(rows: list[tuple[str, bytes]], cfg: EcocConfig) -> EcocModel:
+    """One logistic classifier for each bit, all fitted together on half-precision feature vectors; languages weigh alike."""
     languages = sorted({lang for lang, _ in rows})
     code = codewords(len(languages), cfg)
     w, bias = np.zeros((cfg.size, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -111,7 +111,9 @@ def fit(rows: list[tuple[str, np.ndarray]], cfg: EcocConfig) -> EcocModel:
         return EcocModel(cfg, languages, code, w, bias, np.ones(0))
     number = {lang: i for i, lang in enumerate(languages)}
     y = np.array([number[lang] for lang, _ in rows])
-    x = np.stack([v for _, v in rows])
+    x = np.empty((len(rows), cfg.size), np.float32)
+    for i, (_, raw) in enumerate(rows):
+        x[i] = np.frombuffer(raw, np.float16)
     weight = (1.0 / np.bincount(y))[y][:, None].astype(np.float32) / len(languages)
     target = (code[y] > 0).astype(np.float32)
     adam, adam_bias = Adam(w, 0.2), Adam(bias, 0.2)
@@ -142,7 +144,7 @@ def train(docs: DataFrame, folds: int, held_out: int, cfg: EcocConfig = EcocConf
 
     got = map_columns(rows, run, "lang string, x binary").collect()
     got.sort(key=lambda r: (zlib.crc32(bytes(r["x"])), r["lang"]))
-    return fit([(r["lang"], np.frombuffer(r["x"], np.float16).astype(np.float32)) for r in got], cfg)
+    return fit([(r["lang"], r["x"]) for r in got], cfg)
 
 
 def identify(docs: DataFrame, model: EcocModel, *carry: str) -> DataFrame:
