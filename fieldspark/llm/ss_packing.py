@@ -46,7 +46,7 @@ class WordTokenizer:
     encoded in full. Words are kept as little-endian 32-bit ids in a bounded memo.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 800_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
