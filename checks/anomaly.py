@@ -262,10 +262,10 @@ def active_anomalies(spark, sf):
 
 
 @query("list_anomalies", sql=with_(MONTHLY) + RULED + """
-SELECT asset_id, period, round(anomaly_score, 6) AS anomaly_score FROM ruled WHERE anomaly_score >= 0.5 ORDER BY ruled.anomaly_score DESC, asset_id, period LIMIT 500""")
+SELECT asset_id, period, round(anomaly_score, 6) AS anomaly_score FROM ruled WHERE anomaly_score >= 0.5""")
 def list_anomalies(spark, sf):
     events = anomaly.detect_windows(ruled(spark, sf))
-    return rounded(events.orderBy(F.col("anomaly_score").desc(), "asset_id", "period").limit(500).select("asset_id", "period", "anomaly_score"))
+    return rounded(anomaly.list_anomalies(events).select("asset_id", "period", "anomaly_score"))
 
 
 @query("portfolio_anomaly_metrics", sql=BASE + CAL_ALL + eval_ctes("anomaly_score") + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -23,9 +24,13 @@ def read_json(spark: SparkSession, path: str | Sequence[str], record_schema: T.S
               lines: bool | None = None) -> DataFrame:
     """JSON records: line-delimited, a bare list, or one object that wraps the list.
 
-    lines True skips layout detection and reads splittable line-delimited files. A wrapped document is one value by
-    nature of the format and is unpacked where it is read; large data belongs in line-delimited files.
+    lines None tells the layouts apart by the first line that isn't blank: a whole object on it that wraps no list makes the
+    file line-delimited, which is read in splits. lines True or False skips the look. A wrapped document is one value by
+    nature of the format and is unpacked where it is read; large data belongs in line-delimited files. An object that wraps
+    its list under an unknown key is an error.
     """
+    if lines is None:
+        lines = _line_delimited(spark, path)
     if lines:
         reader = spark.read
         return (reader.schema(record_schema) if record_schema is not None else reader).json(path)
@@ -51,6 +56,21 @@ def read_json(spark: SparkSession, path: str | Sequence[str], record_schema: T.S
     return whole.select(F.explode(F.coalesce(lists, bare)).alias("r")).select("r.*")
 
 
+def _line_delimited(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    try:
+        value = json.loads(first[0]["value"]) if first else None
+    except ValueError:
+        return False  # goes on over further lines
+    if not isinstance(value, dict):
+        return False
+    if any(isinstance(value.get(k), list) for k in WRAPPER_KEYS):
+        return False
+    if any(isinstance(v, list) and v and isinstance(v[0], dict) for v in value.values()):
+        raise MappingError("payload is neither a list of records nor an object that wraps one under a known key")
+    return True
+
+
 def from_df(df: DataFrame, column_map: Mapping[str, str] | None = None, source_type: str | None = None,
             strict: bool = True) -> DataFrame:
     """Any DataFrame (Parquet, ORC, JDBC, Kafka, ...) as telemetry."""

@@ -99,3 +99,20 @@ def test_clean_report(spark):
     out, seen = clean.clean(df, ("n",), CleanConfig())
     assert out.count() == 59
     assert seen.get["input_rows"] == 62 and seen.get["missing_required_dropped"] == 1 and seen.get["negative_dropped"] == 1
+
+
+def test_json_layouts_are_told_apart(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from fieldspark.sources.mapping import MappingError
+
+    rows = [{"asset": f"A-{i}", "v": i} for i in range(5)]
+    layouts = {"lines": "\n".join(json.dumps(r) for r in rows), "list": json.dumps(rows), "pretty": json.dumps(rows, indent=1),
+               "wrapped": json.dumps({"records": rows}), "wrapped_pretty": json.dumps({"data": rows}, indent=1)}
+    for name, text in layouts.items():
+        (tmp_path / name).write_text(text)
+        assert readers.read_json(spark, str(tmp_path / name)).count() == 5, name
+        assert readers.read_json(spark, str(tmp_path / name), StructType.fromDDL("asset string, v long")).count() == 5, name
+    (tmp_path / "other").write_text(json.dumps({"things": rows}))
+    with pytest.raises(MappingError):
+        readers.read_json(spark, str(tmp_path / "other"))
