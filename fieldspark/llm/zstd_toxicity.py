@@ -19,15 +19,20 @@ from fieldspark.llm.labelled import logistic, sigmoid, training_rows
 class CompressionConfig:
     #: labelled rows of each class that dictionaries and thresholds are fitted on, at most 1.2 times as many
     rows_per_class: int = 3_000
-    window: int = 8
+    window: int = 2
     level: int = 9
-    ordinary_bytes: int = 8192
-    toxic_bytes: int = 4096
+    ordinary_bytes: int = 4096
+    toxic_bytes: int = 8192
     #: a word speaks for toxic text if it stands in this many different contexts there, and e^lift times as often as elsewhere
     contexts: int = 6
-    lift: float = 2.0
+    lift: float = 3.0
+    #: telling passages that make up one training sample of the toxic dictionary; a single one is too short to train on
+    sample: int = 8
 
 
+#: Follows each window and ends both dictionaries. The compressor looks for no match in the last bytes of its input and stores
+#: a short input it can hardly shorten as it is; behind a tail that both dictionaries hold, a match of any word counts.
+TAIL = bytes(range(1, 9)) + bytes(range(14, 32))
 EDGES = (-1, 10)  # differences of lengths are counted from below -1 to above 10
 MARKS = b".,;:!?"
 
@@ -81,7 +86,7 @@ class CompressionModel:
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         def one(content: bytes) -> zstandard.ZstdCompressor:
             return zstandard.ZstdCompressor(
-                level=self.cfg.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                level=self.cfg.level, dict_data=zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                 write_content_size=False, write_checksum=False, write_dict_id=False)
         return one(self.ordinary), one(self.toxic)
 
@@ -92,7 +97,8 @@ class CompressionModel:
 def distances(text: str | None, pair: tuple, cfg: CompressionConfig) -> np.ndarray:
     """How many windows the toxic dictionary shortens by how many bytes, as counts and as shares, with their number and mean."""
     plain, toxic = pair[0].compress, pair[1].compress
-    d = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text, cfg.window)] or [0])
+    framed = [b" " + w + b" " + TAIL for w in windows(text, cfg.window)]
+    d = np.array([len(plain(w)) - len(toxic(w)) for w in framed] or [0])
     h = np.bincount(np.clip(d, *EDGES) - EDGES[0], minlength=EDGES[1] - EDGES[0] + 1)
     return np.concatenate([np.log1p(h), np.sqrt(h / len(d)), [np.log(len(d)), d.mean()]])
 
@@ -114,7 +120,8 @@ def fit(rows: list[tuple[int, str]], cfg: CompressionConfig) -> CompressionModel
     common = [w for t in plain for w in windows(t, 5)][::3] or [b"ordinary"]
     half = max(1, 2 * len(common) // 3)
     base = _trained(common[:half][:60_000], cfg.ordinary_bytes, 64, 6)
-    extra = _trained(passages, cfg.toxic_bytes, 16, 8)
+    samples = [b"".join(passages[i : i + cfg.sample]) for i in range(0, len(passages), cfg.sample)]
+    extra = _trained(samples, cfg.toxic_bytes, 32, 8)
     same = _trained(common[half:][:60_000] or common, max(256, len(extra)), 16, 8)
     model = CompressionModel(cfg, base + same, base + extra, np.zeros(size), 0.0)
     pair = model.compressors()
