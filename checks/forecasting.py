@@ -208,7 +208,7 @@ def attribute_deviation(spark, sf):
 def ablation_gbt(spark, sf):
     _, rows, model = gbt(spark, sf)
     names = forecast.feature_names(META)
-    out = at.ablation_contributions(at.last_rows(rows), at.background_rows(rows, 32), names, at.model_predict(model))
+    out = at.ablation_contributions(at.last_rows(rows), at.background_rows(rows), names, at.model_predict(model))
     labelled = at.contribution_table(out).withColumn("label", forecast.feature_label(F.col("feature")))
     return rounded(labelled.select("asset_id", "rank", "feature", "label", "direction", "share_pct"), 4)
 

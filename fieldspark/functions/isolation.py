@@ -74,3 +74,27 @@ def grow(x: np.ndarray, tree: np.ndarray, row: np.ndarray, levels: int, prefix:
         idx, _, _, _, counts = _segments(tree, node, rest)
         size[idx] = np.repeat(counts, counts)
     return node, depth, size, splits
+
+
+def path_sums(x: np.ndarray, tree: np.ndarray, node: np.ndarray, depth: np.ndarray, size: np.ndarray,
+              splits: list[tuple[int, int, int, float]], levels: int, extra: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sum over the trees of each row's path length, number of trees), for all rows of x, sampled or not.
+
+    extra[n] is added at a leaf of n sampled rows. A side of a split that no sampled row fell on counts as an empty leaf.
+    """
+    trees, place = np.unique(tree, return_inverse=True)
+    number = {int(t): i for i, t in enumerate(trees)}
+    width = 1 << (levels + 1)
+    feature, cut = np.full((trees.size, width), -1), np.zeros((trees.size, width))
+    path = np.tile(np.floor(np.log2(np.maximum(np.arange(width), 1))), (trees.size, 1))
+    for t, n, f, c in splits:
+        feature[number[t], n], cut[number[t], n] = f, c
+    path[place, node] = depth + extra[size]
+    total, rows = np.zeros(len(x)), np.arange(len(x))
+    for i in range(trees.size):
+        at = np.ones(len(x), dtype=np.int64)
+        for _ in range(levels):
+            f = feature[i, at]
+            at = np.where(f < 0, at, 2 * at + np.where(x[rows, f] < cut[i, at], 0, 1))
+        total += path[i, at]
+    return total, int(trees.size)

@@ -25,8 +25,11 @@ def linear_predict(coefficients: Sequence[float], intercept: float = 0.0) -> Pre
     return lambda df: df.withColumn("prediction", total)
 
 
-def background_rows(rows: DataFrame, size: int = 64, seed: int = 42) -> DataFrame:
-    """At most `size` rows per asset, by hash order of (seed, asset, t); the limit is applied before the shuffle."""
+def background_rows(rows: DataFrame, size: int | None = None, seed: int = 42) -> DataFrame:
+    """All rows: a monthly panel is bounded by the calendar. With `size` a sample of at most so many rows per asset, by hash
+    order of (seed, asset, t), cut before the shuffle; the contributions are then estimates."""
+    if size is None:
+        return rows
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "asset_id", F.col("t").cast("string")))
     w = Window.partitionBy("asset_id").orderBy(order, "t")
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop("_rn")
@@ -41,7 +44,7 @@ def ablation_contributions(instances: DataFrame, background: DataFrame, names: S
     """Per instance and feature: mean prediction over its asset's background rows with that feature set to the instance's
     value, minus the mean prediction of the background itself (`base`).
 
-    An equi-join on the asset; at most `size` x (features + 1) rows per instance, reduced in the map tasks.
+    An equi-join on the asset; background rows x (features + 1) rows per instance, reduced in the map tasks.
     """
     mine = instances.select("asset_id", F.col("features").alias("_x"))
     pairs = background.select("asset_id", F.col("features").alias("_bg")).join(mine, "asset_id")

@@ -36,13 +36,17 @@ def average_path(n: Column) -> Column:
     return F.when(m > 2, body).when(m == 2, 1.0).otherwise(0.0)
 
 
-def harmonic_path(n: Column, limit: int) -> Column:
-    """The same with the exact harmonic sum, looked up for n up to the sample size."""
+def _harmonic_table(limit: int) -> list[float]:
     table, total = [0.0, 0.0], 0.0
     for m in range(2, limit + 1):
         total += 1.0 / (m - 1)
         table.append(2.0 * total - 2.0 * (m - 1) / m)
-    return F.get(F.expr("array(" + ", ".join(f"{v!r}D" for v in table) + ")"), n.cast("int"))
+    return table
+
+
+def harmonic_path(n: Column, limit: int) -> Column:
+    """The same with the exact harmonic sum, looked up for n up to the sample size."""
+    return F.get(F.expr("array(" + ", ".join(f"{v!r}D" for v in _harmonic_table(limit)) + ")"), n.cast("int"))
 
 
 def tree_depth(sample: int) -> int:
@@ -201,6 +205,39 @@ def score_training(grown: DataFrame, row_key: str, keys: Sequence[str] = ("asset
     return out.select(*keys, row_key, _raw(F.col("path"), harmonic_path(F.col("psi"), config.sample)).alias("raw_score"))
 
 
+def score_every(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str] = ("asset_id",),
+                config: ForestConfig = ForestConfig()) -> DataFrame:
+    """(key, row, raw_score) for every row of df, whether it is in a tree's sample or not: grown and walked in one pass.
+
+    A key's rows travel whole to the tasks of its tree groups, which suits monthly panels; of each row only the summed path
+    of a tree group comes back. For keys with very many rows grow on a presample and use score_rows.
+    """
+    keys = list(keys)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(row_key, df.schema[row_key].dataType),
+                           T.StructField("path", T.DoubleType()), T.StructField("trees", T.LongType()), T.StructField("psi", T.LongType())])
+    out_types = to_arrow_schema(schema)
+    width, groups, levels, n_keys = len(features), min(TREE_GROUPS, config.trees), tree_depth(config.sample), len(keys)
+    trees_all, sample, seed = config.trees, config.sample, config.seed
+    extra = np.array(_harmonic_table(sample)) if config.leaf_correction else np.zeros(sample + 1)
+
+    def walk(key: tuple, table: pa.Table) -> pa.Table:
+        values, group = [k.as_py() for k in key[:n_keys]], key[n_keys].as_py()
+        x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        mine = [t for t in range(1, trees_all + 1) if t % groups == group]
+        tree, row = isolation.sample_rows(table.column("_rk").to_pylist(), mine, sample, seed)
+        node, depth, size, splits = isolation.grow(x, tree, row, levels, ":".join([str(seed), *[str(v) for v in values]]) + ":")
+        path, trees = isolation.path_sums(x, tree, node, depth, size, splits, levels, extra)
+        n = table.num_rows
+        columns = [*[[v] * n for v in values], table.column("_row").combine_chunks(), path, [trees] * n, [min(n, sample)] * n]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type)
+                                     for c, f in zip(columns, out_types)], names=out_types.names)
+
+    sums = _groups(df, row_key, features, keys, config, presample=False).applyInArrow(walk, schema)
+    mean = F.sum("path") / F.sum("trees")
+    out = sums.groupBy(*keys, row_key).agg(mean.alias("path"), F.max("psi").alias("psi"))
+    return out.select(*keys, row_key, _raw(F.col("path"), harmonic_path(F.col("psi"), config.sample)).alias("raw_score"))
+
+
 def calibrate(scores: DataFrame, keys: Sequence[str] = ("asset_id",), config: ForestConfig = ForestConfig(),
               exact: str = "window") -> DataFrame:
     """Adds iso_score in 0..1: distance above the lower percentile over a widened range, bent by a power.

@@ -18,12 +18,14 @@ DIMS = ("field_name", "basin", "status", "onstream_year", "intervention_cost")
 def analyze(
     panel: DataFrame, assets: DataFrame, month_factors: Sequence[float] | None = None, base: str = "persistence",
     months: int = 12, trees: int = 300, forest: ForestConfig = ForestConfig(), config: ScoreConfig = ScoreConfig(),
-    fc: ForecastConfig = ForecastConfig(), provenance: DataFrame | None = None,
+    fc: ForecastConfig = ForecastConfig(), provenance: DataFrame | None = None, origins: Sequence[int] | None = None,
 ) -> DataFrame:
     """One wide row per asset: decline fit, anomaly state, forecast, backtest, recovery, score, recommendations, rank.
 
     The monthly panel feeds every branch and is the only cached table; the branches meet on the asset, one row each.
-    `base` is the forecaster: "persistence" or the pooled "gbt".
+    `base` is the forecaster: "persistence" or the pooled "gbt"; the backtest is of the same forecaster. The boosted model is
+    refitted at `origins` (month numbers); by default at every sixth month of the last third. Assets with too few months for
+    a forest, fit or backtest keep their row, with NULL in what could not be computed.
     """
     panel = panel.select("asset_id", "period", "t", "actual").persist(StorageLevel.MEMORY_AND_DISK)
     fits = decline.fit_quality(decline.fit_decline(panel))
@@ -37,7 +39,9 @@ def analyze(
     windows = anomaly.detect_windows(scored)
     evaluation = anomaly.evaluate_detector(scored).select(
         "asset_id", F.struct("precision", "recall", "f1", "roc_auc", "accuracy", "n").alias("detector_metrics"))
-    state = portfolio.score_assets(portfolio.latest_state(scored), assets.select("asset_id", *DIMS), config)
+    listed = panel.select("asset_id").distinct()
+    latest = listed.join(portfolio.latest_state(scored), "asset_id", "left")
+    state = portfolio.score_assets(latest, assets.select("asset_id", *DIMS), config)
 
     params = fits.select("asset_id", "series", "qi", "di", "b")
     if base == "gbt":
@@ -50,9 +54,21 @@ def analyze(
         sigma = forecast.persistence_residuals(panel, warmup=fc.warmup)
         rolled = forecast.rollout(params, months, config=fc)
     ahead = rolled.select("asset_id", "path", *[
-        F.get("path", F.lit(forecast.months_of(d) - 1)).alias(f"forecast_{d}d") for d in (30, 90, 180, 365)]).join(sigma, "asset_id")
-    errors = forecast.backtest_metrics(forecast.backtest_pairs(panel, config=fc)).where(F.col("horizon_days").isNull()).select(
-        "asset_id", F.struct("mae", "rmse", "r2", "mape", "folds").alias("backtest"))
+        F.get("path", F.lit(forecast.months_of(d) - 1)).alias(f"forecast_{d}d") for d in (30, 90, 180, 365)]).join(sigma, "asset_id", "left")
+    if base == "gbt":
+        if origins is None:
+            months_seen = panel.agg(F.max("t") + 1).first()[0] or 0
+            origins = range(max(14, int(months_seen * 0.66)), int(months_seen), 6)
+        pairs = forecast.backtest_model(panel, list(origins), trees=trees, config=fc) if len(origins) else None
+    else:
+        pairs = forecast.backtest_pairs(panel, config=fc)
+    if pairs is None:  # no origin leaves enough months: nothing to compare
+        pairs = forecast.backtest_pairs(panel.limit(0), config=fc)
+    metrics = cut_lineage(forecast.backtest_metrics(pairs))
+    figures = ("mae", "rmse", "r2", "mape", "folds")
+    errors = metrics.groupBy("asset_id").agg(
+        F.max(F.when(F.col("horizon_days").isNull(), F.struct(*figures))).alias("backtest"),
+        F.sort_array(F.collect_list(F.when(F.col("horizon_days").isNotNull(), F.struct("horizon_days", *figures)))).alias("backtest_horizons"))
 
     out = state.join(fits.drop("series"), "asset_id", "left").join(ahead, "asset_id", "left")
     out = out.join(errors, "asset_id", "left").join(evaluation, "asset_id", "left")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldspark.config import ForestConfig, ScoreConfig
 from fieldspark.functions.columns import hyperbolic_rate, severity
-from fieldspark.operators import anomaly, decline, forecast, iforest, intervals, metrics, portfolio, scoring
+from fieldspark.operators import anomaly, decline, features, forecast, iforest, intervals, metrics, portfolio, scoring
 from fieldspark.operators.ranking import global_rank
+from fieldspark.plans.analysis import analyze
 
 
 def rate(qi, di, b, t):
@@ -110,9 +111,25 @@ def test_detector_flags_the_injected_months(spark):
     assert ev.tp + ev.fp + ev.fn + ev.tn == 36 and ev.recall == 1.0 and 0 <= ev.roc_auc <= 1
 
 
-def test_short_series_get_no_forest(spark):
-    p = panel(spark, {"A": [5.0] * 11}, {"A": [5.0] * 11})
-    assert anomaly.detector_scores(p, ForestConfig(trees=3)).count() == 0
+def test_short_series_get_no_forest_but_the_rule(spark):
+    p = panel(spark, {"A": [5.0] * 10 + [4.0]}, {"A": [5.0] * 11})
+    out = anomaly.detector_scores(p, ForestConfig(trees=3)).orderBy("t").collect()
+    assert len(out) == 11 and {r.score_reason for r in out} == {"TOO_FEW_ROWS"} and all(r.iso_score is None for r in out)
+    assert [r.anomaly_score for r in out[:-1]] == [0.0] * 10 and out[-1].anomaly_score == pytest.approx(1.0)
+
+
+def test_rows_outside_every_sample_are_scored(spark):
+    exp = [100.0] * 300
+    act = [100.0 + (i * 7919) % 13 for i in range(299)] + [400.0]
+    p = panel(spark, {"A": act, "B": act[:40]}, {"A": exp, "B": exp[:40]})
+    cfg = ForestConfig(trees=5, sample=32)
+    out = anomaly.detector_scores(p, cfg)
+    rows = out.collect()
+    assert len(rows) == 340 and all(r.raw_score is not None and r.score_reason is None for r in rows)
+    feats = features.anomaly_features(p)
+    forest = iforest.pack(iforest.grow_nodes(feats, "t", anomaly.FEATURES, config=cfg), config=cfg)
+    walked = {(r.asset_id, r.t): r.raw_score for r in iforest.score_rows(feats, forest, anomaly.FEATURES, config=cfg).collect()}
+    assert all(r.raw_score == pytest.approx(walked[r.asset_id, r.t], abs=1e-9) for r in rows)
 
 
 def _forest_input(spark):
@@ -201,3 +218,15 @@ def test_status_overlay_rejects_unknown_states(spark):
     ev = spark.createDataFrame([("A", 1, "RESOLVED", 1), ("A", 1, "GONE", 2)], "asset_id string, period int, status string, event_ts int")
     out, rejected = portfolio.apply_status_events(an, ev)
     assert {r.asset_id: r.status for r in out.collect()} == {"A": "RESOLVED", "B": "UNACKNOWLEDGED"} and rejected.count() == 1
+
+
+def test_analysis_keeps_every_asset_and_tests_the_forecaster_in_use(spark):
+    noisy = random.Random(3)
+    series = {"A": [5000 * 0.96 ** t * noisy.uniform(0.9, 1.1) for t in range(40)], "B": [300 * 0.97 ** t for t in range(11)]}
+    p = panel(spark, series, {k: list(v) for k, v in series.items()})
+    assets = spark.createDataFrame([(k, "f", "b", "ACTIVE", 2000, 1e5, 5000.0, 0.04, 0.6) for k in series],
+                                   "asset_id string, field_name string, basin string, status string, onstream_year int, intervention_cost double, qi double, di double, b double")
+    run = lambda **kw: {r.asset_id: r for r in analyze(p, assets, forest=ForestConfig(trees=3), trees=3, **kw).collect()}
+    kept, boosted = run(), run(base="gbt", origins=[30])
+    assert set(kept) == set(boosted) == {"A", "B"} and kept["B"].backtest is None
+    assert kept["A"].backtest.mae != boosted["A"].backtest.mae and boosted["A"].backtest_horizons
