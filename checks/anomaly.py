@@ -123,6 +123,18 @@ def scored(spark, sf):
     return anomaly.detector_scores(b.monthly(spark, sf), SMALL)
 
 
+@query("detector_default", sql=BASE + """
+SELECT asset_id, count(*) AS months, count(*) AS scored, 0 AS out_of_range, 0 AS below_rule FROM af GROUP BY 1""")
+def detector_default(spark, sf):
+    """The detector as the library sets it (200 trees of 256 rows): every month has a score, in range and not below the rule."""
+    out = anomaly.detector_scores(b.monthly(spark, sf))
+    rule = F.when(F.abs("dev_fraction") >= 0.1, F.least(F.abs("dev_fraction") / 0.2, F.lit(1.0))).otherwise(0.0)
+    return out.groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("months"), F.count("iso_score").alias("scored"),
+        F.count_if(~F.col("iso_score").between(0, 1) | ~F.col("anomaly_score").between(0, 1)).cast("int").alias("out_of_range"),
+        F.count_if(F.col("anomaly_score") < rule - 1e-12).cast("int").alias("below_rule"))
+
+
 @query("blend_rule", sql=with_(MONTHLY) + RULED + """
 SELECT asset_id, period, round(greatest(least(abs(change_rate), 1), anomaly_score), 6) AS blended FROM ruled""")
 def blend_rule(spark, sf):

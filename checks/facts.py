@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from checks.anomaly import SMALL
 from checks.base import TELEMETRY_RAW, query, rounded, with_
 from checks.decline import FACTORS
 from checks.scoring import ALL, SEV, ruled, scored
@@ -45,7 +44,7 @@ def load_summary(spark, sf):
 def analyze_all(spark, sf):
     """Every asset through decline fit, forest, forecast, backtest, score and rank."""
     labels = quality.provenance_label(b.telemetry_raw(spark, sf))
-    out = analyze(b.monthly(spark, sf), b.assets(spark, sf), FACTORS, forest=SMALL, provenance=labels)
+    out = analyze(b.monthly(spark, sf), b.assets(spark, sf), FACTORS, provenance=labels)
     return out.select(
         "rank", "asset_id", "basin", "severity", "priority", F.round("score", 4).alias("score"), F.round("anomaly_score", 4).alias("anomaly_score"),
         F.round("r_squared", 4).alias("r_squared"), F.round("forecast_90d", 4).alias("forecast_90d"), F.round("backtest.mae", 4).alias("backtest_mae"),

@@ -57,13 +57,12 @@ def seasonal_index(spark, sf):
 
 
 @query("calendar_factors", sql=with_(MONTHLY) + """
-, half AS (SELECT * FROM monthly WHERE month(period) <> 2)
-, m AS (SELECT asset_id, month(period) AS mo, avg(actual) AS m FROM half GROUP BY 1, 2)
-, o AS (SELECT asset_id, avg(actual) AS o FROM half GROUP BY 1)
+, m AS (SELECT asset_id, month(period) AS mo, avg(actual) AS m FROM monthly GROUP BY 1, 2)
+, o AS (SELECT asset_id, avg(actual) AS o FROM monthly GROUP BY 1)
 SELECT o.asset_id, CAST(x.mo AS INTEGER) AS month, round(coalesce(m, 0) / o, 6) AS factor
 FROM o CROSS JOIN (SELECT unnest(range(1, 13)) AS mo) x LEFT JOIN m ON m.asset_id = o.asset_id AND m.mo = x.mo""")
 def calendar_factors(spark, sf):
-    return rounded(ft.calendar_factors(b.monthly(spark, sf).where(F.month("period") != 2)))
+    return rounded(ft.calendar_factors(b.monthly(spark, sf)))
 
 
 AF = """

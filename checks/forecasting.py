@@ -279,16 +279,15 @@ def bias_stats(spark, sf):
 
 
 @query("forecast_accuracy", sql=ROLL.split("\n, roll AS")[0] + f"""
-, tail AS (SELECT asset_id, t - (max(t) OVER (PARTITION BY asset_id) - 6) AS step, actual, expected FROM monthly QUALIFY step BETWEEN 1 AND 6)
+, cycle AS (SELECT asset_id, t % 6 + 1 AS step, actual, expected FROM monthly WHERE expected IS NOT NULL)
 , h(horizon_days, m) AS (VALUES (30, 1), (90, 3), (180, 6))
-, g AS (SELECT asset_id, horizon_days, {REG} FROM tail JOIN h ON step <= m GROUP BY 1, 2)
-SELECT asset_id, horizon_days, round(mae, 5) AS mae, round(rmse, 5) AS rmse, round(mape, 5) AS mape, n FROM g""")
+, g AS (SELECT asset_id, horizon_days, {REG} FROM cycle JOIN h ON step <= m GROUP BY 1, 2)
+SELECT asset_id, horizon_days, round(mae, 7) AS mae, round(rmse, 7) AS rmse, round(mape, 7) AS mape, n FROM g""")
 def forecast_accuracy(spark, sf):
-    panel = b.monthly(spark, sf)
-    last = panel.groupBy("asset_id").agg(F.max("t").alias("_l"))
-    tail = panel.join(last, "asset_id").withColumn("step", F.col("t") - F.col("_l") + 6).where(F.col("step").between(1, 6))
-    out = metrics.forecast_accuracy(tail, "actual", "expected", "step", ["asset_id"])
-    return rounded(out.select("asset_id", "horizon_days", "mae", "rmse", "mape", "n"), 5)
+    """Every six months of the whole panel are one forecast of six steps."""
+    cycle = b.monthly(spark, sf).withColumn("step", F.col("t") % 6 + 1)
+    out = metrics.forecast_accuracy(cycle, "actual", "expected", "step", ["asset_id"])
+    return rounded(out.select("asset_id", "horizon_days", "mae", "rmse", "mape", "n"), 7)
 
 
 LONG = with_(MONTHLY) + f", g AS (SELECT asset_id, {REG} FROM monthly WHERE expected IS NOT NULL GROUP BY 1), long AS (" + " UNION ALL ".join(

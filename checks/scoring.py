@@ -137,9 +137,8 @@ SELECT asset_id, array_to_string(list_slice(list_filter(list_concat(e, [CASE WHE
 def verification_list(spark, sf):
     n = F.col("t") % 4 + F.length("asset_id") % 2
     top = F.when(n == 0, "lag_1").when(n == 1, "roll3_mean").when(n == 2, "meta_cost").when(n == 3, "decline_rate").otherwise("sin12")
-    items = scoring.verification_list(F.col("deviation_pct"), F.col("anomaly_score"), top, F.col("n_windows"))
-    names = F.create_map(*[x for k, v in scoring.CHECKLIST.items() for x in (F.lit(v), F.lit(k))])
-    return scored(spark, sf).select("asset_id", F.array_join(F.transform(items, lambda i: names[i]), ",").alias("checks"))
+    out = scoring.verification_codes(scored(spark, sf).withColumn("top_feature", top))
+    return out.select("asset_id", F.array_join("checks", ",").alias("checks"))
 
 
 @query("sanitize_text", sql="""

@@ -186,7 +186,7 @@ def clean(df: DataFrame, order: Sequence[str], config: CleanConfig = CleanConfig
     to the pinned statistics and repeats the steps before.
     """
     seen = Observation("clean")
-    stamped = convert_units(normalize_ts(df), config.unit_factors)
+    stamped = convert_units(normalize_ts(df), config.units)
     missing = ~_required()
     negative = F.coalesce(F.col("production") < 0, F.lit(False))
     outside = F.lit(False)
@@ -196,17 +196,17 @@ def clean(df: DataFrame, order: Sequence[str], config: CleanConfig = CleanConfig
         seen, F.count(F.lit(1)).alias("input_rows"), F.count_if(missing).alias("missing_required_dropped"),
         F.count_if(~missing & negative).alias("negative_dropped"),
         F.count_if(~missing & ~negative & outside).alias("unit_validation_failures"))
-    out = validate_units(enforce_positive(drop_missing_required(counted), config.positive_only))
-    if config.dedupe:
-        out = dedupe(out, order, config.keep)
-    if stage and (config.impute or config.remove_outliers):
+    out = validate_units(enforce_positive(drop_missing_required(counted), config.negatives == "drop"))
+    if config.copies is not None:
+        out = dedupe(out, order, config.copies)
+    if stage and (config.impute or config.outliers is not None):
         place = scratch_path(df.sparkSession, "clean")
         out.write.parquet(place)
         out = df.sparkSession.read.parquet(place)
     if config.impute:
         out = impute_time(out)
-    if config.remove_outliers:
-        out = drop_outliers(outlier_flags(out, config.outlier_method, config.outlier_threshold, config.iqr_k))
+    if config.outliers is not None:
+        out = drop_outliers(outlier_flags(out, config.outliers.rule, config.outliers.limit, config.outliers.limit))
     if config.monthly:
         out = resample_monthly(out)
     return out, seen

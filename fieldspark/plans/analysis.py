@@ -74,8 +74,7 @@ def analyze(
     out = out.join(errors, "asset_id", "left").join(evaluation, "asset_id", "left")
     out = out.join(anomaly.recent_windows(windows).select("asset_id", "windows"), "asset_id", "left")
     out = out.withColumn("contributing_features", anomaly.contributions(F.col("flagged_dev_fraction"), F.col("flagged_change_rate")))
-    out = out.withColumn("checks", scoring.verification_list(
-        F.col("deviation_pct"), F.col("anomaly_score"), F.col("contributing_features")[0]["feature"], F.col("n_windows")))
+    out = scoring.verification_codes(out.withColumn("top_feature", F.col("contributing_features")[0]["feature"])).drop("top_feature")
     if provenance is not None:
         out = out.join(provenance, "asset_id", "left")
     return portfolio.rank_assets(out)

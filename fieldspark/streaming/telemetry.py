@@ -3,12 +3,12 @@
 Row-level logic (dedupe, windows, scoring columns) is shared with the batch side. Features that look back run in
 foreachBatch over the batch plus the stored last rows per asset, with the time-sliced windows of the batch operators, so a
 very active asset spreads over tasks and no Python state is kept. Every micro-batch writes under its own id: a retry
-overwrites what the failed attempt left, and the checkpoint decides what is read.
+overwrites what the failed attempt left, and only batches with smaller ids are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldspark.config import ScoreConfig, StreamConfig
 from fieldspark.functions.columns import deviation_fraction, severity
 from fieldspark.operators import scoring
+from fieldspark.operators.clean import dedupe
 from fieldspark.operators.features import anomaly_features
 from fieldspark.operators.sliced import over_slices
 
@@ -93,52 +94,62 @@ def _last_rows(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def _batch_dir(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch_id={batch_id}"
+def _too_late(rows: DataFrame, tail: DataFrame, config: StreamConfig) -> DataFrame:
+    """Adds `_late`: too few kept rows lie before the reading to score it as it should be.
 
-
-def _stored_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
-    """The newest batch below batch_id whose rows are complete under a path."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("batch_id=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            done.append(int(name.split("=")[1]))
-    earlier = [d for d in done if d < batch_id]
-    return max(earlier) if earlier else None
+    Only an asset whose tail is full can have rows that are kept no more; a tail has at most `config.keep` rows.
+    """
+    known = tail.groupBy("asset_id").agg(F.sort_array(F.collect_list("timestamp")).alias("_known"))
+    full = F.size("_known") >= config.keep
+    joined = rows.join(known, "asset_id", "left")
+    return joined.withColumn("_late", F.coalesce(full & (F.col("timestamp") <= F.get("_known", F.lit(config.look_back - 1))), F.lit(False))).drop("_known")
 
 
 def write_observations(df: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
-                       history: DataFrame | None = None, config: StreamConfig = StreamConfig()) -> StreamingQuery:
+                       history: DataFrame | None = None, config: StreamConfig = StreamConfig(), order: Sequence[str] = ()) -> StreamingQuery:
     """Append scored observations, one folder per micro-batch, until the available input is used up.
 
-    `transform` maps (buffered rows + new rows) to output rows keyed by (asset_id, timestamp); only those of the new rows
-    are written. The last `config.keep` rows per asset are kept next to the output as the buffer of the next batch, seeded
-    with `history`. Writing a batch again replaces it, so a retry leaves no duplicates.
+    `transform` maps (kept rows + new rows) to output rows keyed by (asset_id, timestamp); only those of the new rows are
+    written. Every key is stored once, whatever the age of a replay: new rows are anti-joined with the stored keys of their
+    days. Of rows with one key inside a batch the first in `order` stays (default: all columns), so a retry picks the same.
+    A late reading is scored with the kept rows before it; if those are fewer than `config.look_back` of a longer history, it
+    goes unscored to the table of `late_observations`. Rows that were written before it are not scored again.
+
+    The last `config.keep` rows per asset, seeded with `history`, are kept in two folders that take turns. Writing a batch
+    again replaces it, so a retry leaves no duplicates.
     """
-    spark = df.sparkSession
-    tails, out_path = f"{path.rstrip('/')}/tail", f"{path.rstrip('/')}/out"
+    spark, root = df.sparkSession, path.rstrip("/")
+    order = list(order) or sorted(df.columns)
+    stored = T.StructType([*df.schema.fields, T.StructField("_late", T.BooleanType()), T.StructField("batch_id", T.LongType()),
+                           T.StructField("day", T.DateType())])
+    spark.createDataFrame([], stored).write.mode("ignore").partitionBy("batch_id", "day").parquet(f"{root}/rows")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = _stored_before(batch.sparkSession, tails, batch_id)
-        old = batch.sparkSession.read.parquet(_batch_dir(tails, before)) if before is not None else history
-        fresh = batch.dropDuplicates(["asset_id", "timestamp"])
-        if old is not None:
-            old = old.select(*fresh.columns)
-            fresh = fresh.join(old.select("asset_id", "timestamp"), ["asset_id", "timestamp"], "left_anti")
-            both = fresh.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
+        session = batch.sparkSession
+        keys = ["asset_id", "timestamp"]
+        # the source and its state are read once; everything after starts from the written batch
+        first = dedupe(batch, order, "first", keys).withColumn("day", F.to_date("timestamp"))
+        first.write.mode("overwrite").parquet(f"{root}/incoming/{batch_id % 2}")
+        fresh = session.read.schema(first.schema).parquet(f"{root}/incoming/{batch_id % 2}")
+        if batch_id > 0:
+            tail = session.read.schema(batch.schema).parquet(f"{root}/tail/{(batch_id - 1) % 2}")
         else:
-            both = fresh.withColumn("_new", F.lit(True))
-        # the rows of this batch are used twice; they are pinned as a table, not recomputed from the source
-        both.write.mode("overwrite").parquet(_batch_dir(f"{path.rstrip('/')}/input", batch_id))
-        both = batch.sparkSession.read.parquet(_batch_dir(f"{path.rstrip('/')}/input", batch_id))
+            tail = _last_rows(history.select(*batch.columns), config.keep) if history is not None else session.createDataFrame([], batch.schema)
+        days = fresh.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+        if days["first"] is None:  # a batch without rows only hands the tail on
+            tail.write.mode("overwrite").parquet(f"{root}/tail/{batch_id % 2}")
+            return
+        past = session.read.schema(stored).parquet(f"{root}/rows").where(F.col("batch_id") < batch_id)
+        fresh = fresh.join(past.where(F.col("day").between(days["first"], days["last"])).select(*keys), keys, "left_anti")
+        if history is not None:
+            fresh = fresh.join(history.select(*keys), keys, "left_anti")
+        here = f"{root}/rows/batch_id={batch_id}"
+        _too_late(fresh, tail, config).select(*batch.columns, "_late", "day").hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(here)
+        new = session.read.schema(T.StructType([f for f in stored.fields if f.name != "batch_id"])).parquet(here).where(~F.col("_late"))
+        both = new.select(*batch.columns, F.lit(True).alias("_new")).unionByName(tail.withColumn("_new", F.lit(False)))
         out = transform(both) if transform else both
-        out.where(F.col("_new")).drop("_new").write.mode("overwrite").parquet(_batch_dir(out_path, batch_id))
-        _last_rows(both.drop("_new"), config.keep).write.mode("overwrite").parquet(_batch_dir(tails, batch_id))
+        out.where(F.col("_new")).drop("_new").write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        _last_rows(both.drop("_new"), config.keep).write.mode("overwrite").parquet(f"{root}/tail/{batch_id % 2}")
 
     return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -147,6 +158,11 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/out").drop("batch_id")
 
 
+def late_observations(spark: SparkSession, path: str) -> DataFrame:
+    """The stored readings that came too late to be scored."""
+    return spark.read.parquet(f"{path.rstrip('/')}/rows").where("_late").drop("_late", "batch_id", "day")
+
+
 def transitions(df: DataFrame, slice_unit: str | None = "day") -> DataFrame:
     """Severity changes, deviations below -10 % while NORMAL, and priority changes, one row per event.
 

@@ -61,3 +61,28 @@ def test_transitions_and_onsets(spark):
     assert ev == [(2, "DEVIATION", "BELOW_EXPECTATION"), (3, "ANOMALY", "ALERT"), (4, "PRIORITY", "HIGH"), (5, "ANOMALY", "NORMAL"),
                   (5, "PRIORITY", "LOW"), (6, "ANOMALY", "WATCH")]
     assert [r.timestamp.day for r in st.onsets(df).orderBy("timestamp").collect()] == [3, 6]
+
+
+def test_replays_and_late_rows_over_batches(spark, tmp_path):
+    data = [r for r in readings(120) if r[0] == "A"]
+    late = [data[3], data[95]]  # one far behind the kept rows, one among them
+    rest = [r for r in data if r not in late]
+    parts = [rest[:80], rest[80:110], rest[110:] + late + [rest[0], rest[5], rest[100]]]
+    for part in parts:
+        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = st.telemetry_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], DDL).schema, maxFilesPerTrigger="1")
+    st.write_observations(source, str(tmp_path / "table"), str(tmp_path / "cp"), ticks, config=StreamConfig(keep=64)).awaitTermination()
+    got = _rows(st.read_observations(spark, str(tmp_path / "table")))
+    assert [r.timestamp for r in st.late_observations(spark, str(tmp_path / "table")).collect()] == [late[0][1]]
+    assert sorted(r[1] for r in got) == sorted(r[1] for r in data if r != late[0])  # every other key once
+    whole = {r[1]: r for r in _rows(ticks(spark.createDataFrame(data, DDL)))}
+    assert whole[late[1][1]] in got  # scored as if it had come in time
+
+
+def test_a_retried_batch_replaces_itself(spark, tmp_path):
+    data = readings(40)
+    spark.createDataFrame(data, DDL).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = st.telemetry_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], DDL).schema)
+    for attempt in ("one", "two"):  # a second checkpoint makes batch 0 run again over the same table
+        st.write_observations(source, str(tmp_path / "table"), str(tmp_path / attempt), ticks).awaitTermination()
+    assert _rows(st.read_observations(spark, str(tmp_path / "table"))) == _rows(ticks(spark.createDataFrame(data, DDL)))
