@@ -24,8 +24,8 @@ def analyze(
 
     The monthly panel feeds every branch and is the only cached table; the branches meet on the asset, one row each.
     `base` is the forecaster: "persistence" or the pooled "gbt"; the backtest is of the same forecaster. The boosted model is
-    refitted at `origins` (month numbers); by default at every sixth month of the last third. Assets with too few months for
-    a forest, fit or backtest keep their row, with NULL in what could not be computed.
+    refitted at `origins` (month numbers); by default at every sixth month of each asset's own last third. Assets with too few
+    months for a forest, fit or backtest keep their row, with NULL in what could not be computed.
     """
     panel = panel.select("asset_id", "period", "t", "actual").persist(StorageLevel.MEMORY_AND_DISK)
     fits = decline.fit_quality(decline.fit_decline(panel))
@@ -56,14 +56,9 @@ def analyze(
     ahead = rolled.select("asset_id", "path", *[
         F.get("path", F.lit(forecast.months_of(d) - 1)).alias(f"forecast_{d}d") for d in (30, 90, 180, 365)]).join(sigma, "asset_id", "left")
     if base == "gbt":
-        if origins is None:
-            months_seen = panel.agg(F.max("t") + 1).first()[0] or 0
-            origins = range(max(14, int(months_seen * 0.66)), int(months_seen), 6)
-        pairs = forecast.backtest_model(panel, list(origins), trees=trees, config=fc) if len(origins) else None
+        pairs = forecast.backtest_model(panel, origins, trees=trees, config=fc)
     else:
         pairs = forecast.backtest_pairs(panel, config=fc)
-    if pairs is None:  # no origin leaves enough months: nothing to compare
-        pairs = forecast.backtest_pairs(panel.limit(0), config=fc)
     metrics = cut_lineage(forecast.backtest_metrics(pairs))
     figures = ("mae", "rmse", "r2", "mape", "folds")
     errors = metrics.groupBy("asset_id").agg(

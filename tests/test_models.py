@@ -230,3 +230,18 @@ def test_analysis_keeps_every_asset_and_tests_the_forecaster_in_use(spark):
     kept, boosted = run(), run(base="gbt", origins=[30])
     assert set(kept) == set(boosted) == {"A", "B"} and kept["B"].backtest is None
     assert kept["A"].backtest.mae != boosted["A"].backtest.mae and boosted["A"].backtest_horizons
+
+
+def test_model_backtest_covers_each_assets_own_last_third(spark):
+    noisy = random.Random(4)
+    lengths = {"L": 50, "S": 33, "XS": 12}
+    series = {k: [(400 + 50 * i) * 0.98 ** t * noisy.uniform(0.9, 1.1) for t in range(n)] for i, (k, n) in enumerate(lengths.items())}
+    p = panel(spark, series, {k: list(v) for k, v in series.items()})
+    assert forecast.shared_origins(p) == [21, 27, 33, 39, 45]
+    cuts = {(r.asset_id, r.cut) for r in forecast.backtest_model(p, trees=1).collect()}
+    assert cuts == {("S", 21), ("S", 27), ("L", 33), ("L", 39), ("L", 45)}
+    assert forecast.backtest_model(p.where("asset_id = 'XS'"), trees=1).count() == 0
+    assets = spark.createDataFrame([(k, "f", "b", "ACTIVE", 2000, 1e5, 5000.0, 0.04, 0.6) for k in series],
+                                   "asset_id string, field_name string, basin string, status string, onstream_year int, intervention_cost double, qi double, di double, b double")
+    out = {r.asset_id: r.backtest for r in analyze(p, assets, base="gbt", trees=1, forest=ForestConfig(trees=2)).collect()}
+    assert out["L"].folds and out["S"].folds and out["XS"] is None
