@@ -124,10 +124,10 @@ def backtest_refit(spark, sf):
     return rounded(forecast.backtest_metrics(forecast.backtest_pairs(b.monthly(spark, sf))), 4)
 
 
-def gbt(spark, sf, trees=10):
+def gbt(spark, sf):
     panel = b.monthly(spark, sf).drop("expected").join(b.assets(spark, sf), "asset_id")
     rows = forecast.training_rows(panel, metadata=META)
-    return panel, rows, forecast.fit_forecaster(rows, trees)
+    return panel, rows, forecast.fit_forecaster(rows)
 
 
 @query("forecast_gbt")
@@ -141,8 +141,9 @@ def forecast_gbt(spark, sf):
 
 @query("backtest_gbt")
 def backtest_gbt(spark, sf):
+    """Every month of each asset's own last third is an origin with a fit of the library's default size."""
     panel = b.monthly(spark, sf).drop("expected").join(b.assets(spark, sf), "asset_id")
-    return rounded(forecast.backtest_metrics(forecast.backtest_model(panel, (60, 70), META, trees=5), ()), 4)
+    return rounded(forecast.backtest_metrics(forecast.backtest_model(panel, metadata=META, stride=1), ()), 4)
 
 
 @query("feature_importance")
