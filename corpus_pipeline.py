@@ -43,7 +43,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL has neither the classifiers nor XXH64 nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the classifiers nor XXH64 nor the tokenizer; README.md says what tests hold the stages against.
 ORACLE_SQL = None
 
 

@@ -293,3 +293,72 @@ def test_pipeline_stages(spark, docs, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and all(1 <= r["length"] <= 4096 for r in rows)
     assert not {900, 901, 902} & {r["doc_id"] for r in rows}
+
+
+def brute_groups(rows):
+    """Per row (doc_id, fp, component, component_id): groups of fingerprints that chains of at most two bits link."""
+    fps = {r[1]: simhash_mih.fingerprint(r[1]) for r in rows}
+    group = {f: f for f in fps.values()}
+    for _ in group:
+        new = {f: min(group[g] for g in group if ((f ^ g) % (1 << 64)).bit_count() <= 2) for f in group}
+        if new == group:
+            break
+        group = new
+    ids = defaultdict(list)
+    for r in rows:
+        ids[group[fps[r[1]]]].append(r[0])
+    return [(r[0], fps[r[1]], c := group[fps[r[1]]], min((i for i in ids[c] if i is not None), default=None)) for r in rows]
+
+
+def test_group_ids_and_kept_rows_against_brute_force(spark, docs, rows):
+    import corpus_pipeline
+
+    near = [(200 + i, rows[i][1] + " x", *rows[i][2:]) for i in range(0, 60, 6)]
+    more = rows + near
+    table = spark.createDataFrame(more, DDL)
+    want = brute_groups(more)
+    assert len({w[2] for w in want}) < len({w[1] for w in want})  # some differ and are linked
+    same(simhash_mih.near_groups(table).select("doc_id", "fp", "component", "component_id"), want)
+    lead = {w[2]: w[3] for w in want}
+    kept = Counter(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, table, "").collect())
+    assert kept == Counter(lead.values())
+
+
+def test_vector_recall_as_registered(spark):
+    r = np.random.default_rng(11)
+    base = r.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = r.normal(size=base.shape)
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    near = 0.951 * base + np.sqrt(1 - 0.951**2) * side  # just above the bound, where most is missed
+    data = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *near])]
+    got = {g["vec_id"]: g["n_links"] for g in pstable.near_vectors(
+        spark.createDataFrame(data, "vec_id long, embedding array<double>"), pstable.PStableConfig()).collect()}
+    unit = np.array([v for _, v in data])
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert links.sum() >= 3000 and all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) / links.sum() > 0.99
+
+
+def test_first_stages_lose_no_row(spark, docs, rows):
+    import corpus_pipeline
+
+    every = ecoc_language.identify(docs, ecoc_language.train(docs, 4, 2), *docs.columns).collect()
+    assert len(every) == len(rows)
+    want = Counter(r["doc_id"] for r in every if r["lang_pred"] != "und" and not r["ambiguous"])
+    assert Counter(r["doc_id"] for r in corpus_pipeline.identified(spark, docs, "").collect()) == want
+
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    owner = {}
+    for r in rows:
+        for line in (r[1] or "").split("\n"):
+            if len(key(line)) >= 10:
+                owner[key(line)] = min(owner.get(key(line), float("inf")), big(r[0]))
+    expected = []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or owner[key(x)] == big(r[0])]
+        text = "\n".join(kept)
+        expected.append((r[0], text, len(text) if len(kept) < len(lines) else r[4]))
+    same(corpus_pipeline.without_repeated_lines(spark, docs, "").select("doc_id", "text", "n_chars"), expected)
