@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import ecoc_language, fm_quality, line_runs, phrase_automata, pstable, rule_ledger, simhash_mih, source_mix, ss_packing, zstd_toxicity
+from fieldspark.llm import (
+    anchor_pii, ecoc_language, fm_quality, hybrid_search, line_runs, permuterm, phrase_automata, pstable, rule_ledger, simhash_mih, source_mix, ss_packing, zstd_toxicity)
 from fieldspark.llm.common import doc_crc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +161,73 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_source_mix")
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+VARIANTS_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128
+    THEN [ord(c) & 15, ord(c) >> 4] ELSE [ord(c) >> 6, 12, ord(c) & 15, 8 + ((ord(c) >> 4) & 3)] END)) AS halves FROM counted),
+hashed AS (  -- crc32 by half bytes; the list is the usual table of 16 remainders
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(halves, lambda x: CAST(x AS BIGINT))), lambda c, x: xor(c >> 4,
+    ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804,
+      2607071920, 2262029012, 2685067896, 3183342108])[xor(c & 15, x) + 1]))) AS h FROM coded),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near JOIN words ON words.word = near.other GROUP BY near.word),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk(word, root, up) AS (
+  SELECT word, word, form FROM formed UNION ALL SELECT walk.word, walk.up, formed.form FROM walk JOIN formed ON formed.word = walk.up)
+SELECT formed.word, n, n_near, formed.form, form_n, root FROM formed JOIN walk ON walk.word = formed.word AND walk.up IS NULL"""
+
+
+@query("op11_permuterm_variants", VARIANTS_SQL)
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return permuterm.variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SEARCH_SQL = r"""
+WITH tokens AS (
+  SELECT d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents) WHERE text IS NOT NULL),
+sizes AS (SELECT d, doc_id, CAST(len(ts) AS BIGINT) AS n FROM tokens WHERE len(ts) > 0),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+postings AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ts) AS term FROM tokens) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total),
+scores AS (
+  SELECT item_id, d, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (d), total GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
+@query("op12_hybrid_search", SEARCH_SQL)
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return hybrid_search.search(hybrid_search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+@query("op13_anchor_pii")
+def private_data(spark: SparkSession, folder: str) -> DataFrame:
+    rows = anchor_pii.find_private(table(spark, folder, "documents"))
+    counts = [anchor_pii.count_base(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return rows.select("doc_id", *counts, F.sha2(anchor_pii.listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+                       anchor_pii.listed(F.col("spans")).alias("spans"))
