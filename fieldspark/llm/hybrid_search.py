@@ -43,11 +43,19 @@ class Index:
     segments: DataFrame
 
 
+class _Numbers(dict):
+    """term -> its number, by first use."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 class _Segment:
     """Documents of one task while they are gathered."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
         self.terms: list[np.ndarray] = []
@@ -56,12 +64,9 @@ class _Segment:
 
     def add(self, doc_id: int | None, words: list[bytes]) -> None:
         counts = Counter(words)
-        numbers = self.numbers
-        for w in counts.keys() - numbers.keys():
-            numbers[w] = len(numbers)
         self.ids.append(doc_id)
         self.sizes.append(len(words))
-        self.terms.append(np.fromiter(map(numbers.__getitem__, counts), np.int32, len(counts)))
+        self.terms.append(np.fromiter(map(self.numbers.__getitem__, counts), np.int32, len(counts)))
         self.tfs.append(np.fromiter(counts.values(), np.int32, len(counts)))
         self.postings += len(counts)
 
