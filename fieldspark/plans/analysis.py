@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.config import ForecastConfig, ForestConfig, ScoreConfig
+from fieldspark.functions.boosting import BoostConfig
 from fieldspark.operators import anomaly, decline, forecast, portfolio, scoring
 from fieldspark.session import cut_lineage
 
@@ -22,12 +22,13 @@ def analyze(
 ) -> DataFrame:
     """One wide row per asset: decline fit, anomaly state, forecast, backtest, recovery, score, recommendations, rank.
 
-    The monthly panel feeds every branch and is the only cached table; the branches meet on the asset, one row each.
-    `base` is the forecaster: "persistence" or the pooled "gbt"; the backtest is of the same forecaster. The boosted model is
-    refitted at `origins` (month numbers); by default at every sixth month of each asset's own last third. Assets with too few
-    months for a forest, fit or backtest keep their row, with NULL in what could not be computed.
+    The monthly panel feeds every branch and is pinned once; the branches meet on the asset, one row each. `base` is the
+    forecaster: "persistence" or "gbt", a boosted model of each asset, of which `importance` lists the strongest features; the
+    backtest is of the same forecaster. The boosted models are refitted at `origins` (month numbers); by default at every sixth
+    month of each asset's own last third. Assets with too few months for a forest, fit or backtest keep their row, with NULL in
+    what could not be computed.
     """
-    panel = panel.select("asset_id", "period", "t", "actual").persist(StorageLevel.MEMORY_AND_DISK)
+    panel = cut_lineage(panel.select("asset_id", "period", "t", "actual"))
     fits = decline.fit_quality(decline.fit_decline(panel))
     fits = decline.horizon_rates(fits, (F.col("n") - 1).cast("double"))
     fits = cut_lineage(fits.select(
@@ -45,16 +46,14 @@ def analyze(
 
     params = fits.select("asset_id", "series", "qi", "di", "b")
     if base == "gbt":
-        train = forecast.training_rows(panel.join(params.drop("series"), "asset_id"), fc)
-        model = forecast.fit_forecaster(train, trees)
-        sigma = forecast.residual_std(forecast.predict_rows(model, train))
-        level = panel.groupBy("asset_id").agg(F.greatest(F.avg("actual"), F.lit(1e-9)).alias("scale"))
-        rolled = forecast.rollout(params.join(level, "asset_id"), months, forecast.model_step(model), config=fc)
+        rolled = forecast.boosted_paths(params, months, 12, boost=BoostConfig(trees=trees), config=fc)
+        rolled = rolled.withColumn("importance", forecast.strongest(F.col("importance")))
     else:
         sigma = forecast.persistence_residuals(panel, warmup=fc.warmup)
-        rolled = forecast.rollout(params, months, config=fc)
-    ahead = rolled.select("asset_id", "path", *[
-        F.get("path", F.lit(forecast.months_of(d) - 1)).alias(f"forecast_{d}d") for d in (30, 90, 180, 365)]).join(sigma, "asset_id", "left")
+        rolled = forecast.rollout(params, months, config=fc).join(sigma, "asset_id", "left")
+    own = [c for c in ("residual_std", "importance") if c in rolled.columns]
+    ahead = rolled.select("asset_id", "path", *own, *[
+        F.get("path", F.lit(forecast.months_of(d) - 1)).alias(f"forecast_{d}d") for d in (30, 90, 180, 365)])
     if base == "gbt":
         pairs = forecast.backtest_model(panel, origins, trees=trees, config=fc)
     else:
