@@ -116,3 +116,34 @@ def test_json_layouts_are_told_apart(spark, tmp_path):
     (tmp_path / "other").write_text(json.dumps({"things": rows}))
     with pytest.raises(MappingError):
         readers.read_json(spark, str(tmp_path / "other"))
+
+
+def _folder(path, files):
+    path.mkdir()
+    for name, text in files.items():
+        (path / name).write_text(text)
+    return str(path)
+
+
+@pytest.mark.parametrize("record", [
+    {"id": 1, "items": [{"q": 1}, {"q": 2}]}, {"id": 1, "parts": [{"q": 1}]}, {"id": 1, "data": ["x"]}, {"records": [{"q": 1}]}, {"id": 1, "items": []}])
+def test_read_json_keeps_records_that_hold_lists(spark, tmp_path, record):
+    rows = [record | {"n": i} for i in range(5)]
+    place = _folder(tmp_path / "in", {"a.json": "\n".join(map(json.dumps, rows)) + "\n\n"})
+    out = readers.read_json(spark, place)
+    assert sorted(r.n for r in out.collect()) == [0, 1, 2, 3, 4] and set(out.columns) == set(rows[0])
+
+
+def test_read_json_of_mixed_files(spark, tmp_path):
+    row = lambda i: {"asset_id": f"A{i}", "v": i}
+    place = _folder(tmp_path / "in", {
+        "lines.json": "\n".join(json.dumps(row(i)) for i in range(3)), "wrapped.json": json.dumps({"records": [row(3), row(4)], "count": 2}),
+        "pretty.json": json.dumps({"data": [row(5)]}, indent=2), "list.json": json.dumps([row(6), row(7)], indent=1), "one.json": json.dumps(row(8)),
+        "one_pretty.json": json.dumps(row(9) | {"extra": [{"x": 1}]}, indent=2), "none.json": "", "empty.json": "[]"})
+    assert sorted((r.asset_id, r.v) for r in readers.read_json(spark, place).collect()) == sorted((f"A{i}", i) for i in range(10))
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}\n{"a": 2', '{"a":\n1}\n{"a":\n2}', "[1, 2]", '{"stuff": [{"a": 1}]}', "no json"])
+def test_read_json_refuses_what_it_cannot_keep(spark, tmp_path, text):
+    with pytest.raises(mapping.MappingError):
+        readers.read_json(spark, _folder(tmp_path / "in", {"a.json": text, "b.json": '[{"a": 3}]'}))
