@@ -8,6 +8,7 @@ from fieldspark.operators import clean
 from fieldspark.plans import bindings as b
 from fieldspark.session import scratch_path
 from fieldspark.sources import sinks
+from fieldspark.streaming import ordered
 from fieldspark.streaming import telemetry as st
 
 TICKS = """
@@ -70,6 +71,48 @@ def stream_scored(spark, sf):
     return out.select("asset_id", "at", "severity", "priority", F.round("anomaly_score", 6).alias("anomaly_score"), F.round("score", 5).alias("score"))
 
 
+# Rows that the watermark has passed; it is a whole millisecond an hour behind the newest reading.
+PASSED = TICKS + """
+, passed AS (SELECT * FROM ticks WHERE epoch_us(timestamp) <= 1000 * ((SELECT epoch_ms(max(timestamp)) FROM events_telemetry) - 3600000))"""
+
+
+def state_scored(spark, sf, place):
+    """The events file as a stream whose assets keep their last readings in state; scores go to a folder."""
+    source = b.table(spark, sf, "events")
+    stream = st.telemetry_stream(spark, f"{sf}/events*.parquet", source.schema, time_col="ts")
+    rows = st.with_lateness(stream.select(
+        F.concat(F.lit("U-"), F.col("user_id").cast("string")).alias("asset_id"), F.col("ts").alias("timestamp"), F.col("value").alias("actual")), "1 hour")
+    feats = ordered.features_from_past(ordered.expected_from_past(ordered.with_past(rows, ["actual"], 16)))
+    raw = F.least(F.abs("change_rate"), F.lit(1.0)) * 0.9
+    out = st.score_ticks(feats.withColumns({"raw_score": raw, "complexity": F.lit(0.5)})).withColumn("deviation_pct", F.col("dev_fraction") * 100.0)
+    out = out.select("asset_id", "timestamp", "severity", "priority", "deviation_pct", "anomaly_score", "score")
+    ordered.append_stream(out, f"{place}/scored", f"{place}/checkpoint").awaitTermination()
+    return out.schema
+
+
+@query("stream_state_scored", sql=with_(EVENTS) + PASSED + """
+SELECT asset_id, epoch_us(timestamp) AS at, severity, priority, round(anomaly_score, 6) AS anomaly_score, round(score, 5) AS score FROM passed""")
+def stream_state_scored(spark, sf):
+    place = scratch_path(spark, "stream-state")
+    state_scored(spark, sf, place)
+    out = _micros(spark.read.parquet(f"{place}/scored"))
+    return out.select("asset_id", "at", "severity", "priority", F.round("anomaly_score", 6).alias("anomaly_score"), F.round("score", 5).alias("score"))
+
+
+@query("stream_transitions", sql=with_(EVENTS) + PASSED + """
+, l AS (SELECT *, coalesce(lag(severity) OVER w, 'NORMAL') AS ps, coalesce(lag(priority) OVER w, 'LOW') AS pp FROM passed WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp))
+, e AS (SELECT asset_id, timestamp, 'ANOMALY' AS category, severity AS label, severity AS level FROM l WHERE severity <> ps
+UNION ALL SELECT asset_id, timestamp, 'DEVIATION', 'BELOW_EXPECTATION', 'WATCH' FROM l WHERE severity = ps AND severity = 'NORMAL' AND deviation_pct < -10
+UNION ALL SELECT asset_id, timestamp, 'PRIORITY', priority, severity FROM l WHERE priority <> pp)
+SELECT asset_id, epoch_us(timestamp) AS at, category, label, level FROM e WHERE epoch_us(timestamp) <= 1000 * (SELECT epoch_ms(max(timestamp)) FROM passed)""")
+def stream_transitions(spark, sf):
+    """Severity and priority of each asset's last reading as state, behind the scores; the scores of a batch are read together."""
+    place = scratch_path(spark, "stream-transitions")
+    events = ordered.transition_stream(spark, f"{place}/scored", state_scored(spark, sf, place), "0 seconds")
+    ordered.append_stream(events, f"{place}/events", f"{place}/checkpoint-events").awaitTermination()
+    return _micros(spark.read.parquet(f"{place}/events"))
+
+
 @query("stream_window", sql="""
 WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
 SELECT event_type AS source, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS readings, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi

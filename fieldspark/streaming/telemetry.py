@@ -172,16 +172,20 @@ def transitions(df: DataFrame, slice_unit: str | None = "day") -> DataFrame:
         df, ["asset_id"], ["timestamp"],
         lambda w: {"_sev": F.lag("severity", 1, "NORMAL").over(w), "_pri": F.lag("priority", 1, "LOW").over(w)},
         1, "timestamp", slice_unit)
+    return rows.select("asset_id", "timestamp", F.explode(events_of()).alias("e")).select("asset_id", "timestamp", "e.*")
+
+
+def events_of() -> Column:
+    """The events of a row (array of category, label, level); _sev and _pri are the levels of the row before."""
     moved = F.col("severity") != F.col("_sev")
 
     def event(cond: Column, category: str, label: Column, level: Column) -> Column:
         return F.when(cond, F.struct(F.lit(category).alias("category"), label.alias("label"), level.alias("level")))
 
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         event(moved, "ANOMALY", F.col("severity"), F.col("severity")),
         event(~moved & (F.col("severity") == "NORMAL") & (F.col("deviation_pct") < -10), "DEVIATION", F.lit("BELOW_EXPECTATION"), F.lit("WATCH")),
         event(F.col("priority") != F.col("_pri"), "PRIORITY", F.col("priority"), F.col("severity"))))
-    return rows.select("asset_id", "timestamp", F.explode(found).alias("e")).select("asset_id", "timestamp", "e.*")
 
 
 def onsets(df: DataFrame, slice_unit: str | None = "day") -> DataFrame:
