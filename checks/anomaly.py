@@ -222,6 +222,11 @@ def feature_deviation_rank(spark, sf):
     return rounded(anomaly.feature_deviation_rank(z, ["asset_id", "t"], FEATS))
 
 
+#: The texts of this query; the library gives bands and features alone.
+EXPLAINED = (("WATCH", "Slight deviation in ", "; keep watching."), ("ALERT", "Notable deviation in ", "; look into it."),
+             ("CRITICAL", "Strong deviation in ", "; needs attention now."))
+
+
 @query("explain", sql=BASE + ZPOOL + ", long AS (" + " UNION ALL ".join(
     f"SELECT asset_id, t, '{f}' AS feature, {i} AS pos, z_{f} AS z FROM pool" for i, f in enumerate(FEATS)) + """)
 , names AS (SELECT asset_id, t, coalesce(string_agg(feature, ', ' ORDER BY abs(z) DESC, pos) FILTER (WHERE abs(z) > 1.5), 'several measures') AS names FROM long GROUP BY 1, 2)
@@ -230,7 +235,12 @@ SELECT asset_id, t, CASE WHEN s >= 0.85::DOUBLE THEN concat('Strong deviation in
   WHEN s >= 0.5 THEN concat('Slight deviation in ', names, '; keep watching.') ELSE 'Within the usual operating range.' END AS explanation FROM names JOIN s USING (asset_id, t)""")
 def explain(spark, sf):
     z = anomaly.standardise(ruled(spark, sf), FEATS)
-    return z.select("asset_id", "t", anomaly.explain(F.col("anomaly_score"), {f: F.col(f"z_{f}") for f in FEATS}).alias("explanation"))
+    out = z.withColumn("e", anomaly.explain(F.col("anomaly_score"), {f: F.col(f"z_{f}") for f in FEATS}))
+    names = F.when(F.size("e.features") > 0, F.array_join("e.features", ", ")).otherwise("several measures")
+    text = F.lit("Within the usual operating range.")
+    for band, before, after in EXPLAINED:
+        text = F.when(F.col("e.severity") == band, F.concat(F.lit(before), names, F.lit(after))).otherwise(text)
+    return out.select("asset_id", "t", text.alias("explanation"))
 
 
 KNOWN = """

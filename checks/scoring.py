@@ -286,7 +286,8 @@ SELECT DISTINCT source AS source_name, asset_id AS dataset_name, source_type, CA
   WHEN 'SYNTHETIC' THEN 'Generated for demonstration; not measured' ELSE 'Model output; an estimate' END AS provenance_note FROM events_telemetry""")
 def sources_view(spark, sf):
     src = b.events_telemetry(spark, sf).select(F.col("source").alias("source_name"), F.col("asset_id").alias("dataset_name"), "source_type").distinct()
-    return portfolio.sources_view(src)
+    notes = {"REAL": "Published measurements", "SYNTHETIC": "Generated for demonstration; not measured", "DERIVED": "Model output; an estimate"}
+    return portfolio.sources_view(src, notes)
 
 
 MODELS = """models AS (SELECT concat('M-', CAST(p_partkey AS VARCHAR)) AS code, p_name AS model_name, CASE WHEN p_partkey % 5 = 0 THEN 'DEPRECATED' ELSE 'ACTIVE' END AS status,

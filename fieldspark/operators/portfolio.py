@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,18 +137,11 @@ def intervention_effect(df: DataFrame, by: Sequence[str] = (), exact: str = "bra
         F.try_divide(F.sum(gain), F.sum("actual")).alias("top_fifth_capture"))
 
 
-# Fixed order of the provenance kinds with our wording.
-PROVENANCE_NOTES = {
-    "REAL": "Published measurements", "SYNTHETIC": "Generated for demonstration; not measured",
-    "DERIVED": "Model output; an estimate",
-}
-
-
-def sources_view(sources: DataFrame) -> DataFrame:
-    note = None
-    for kind, text in PROVENANCE_NOTES.items():
-        hit = F.col("source_type") == kind
-        note = F.when(hit, text) if note is None else note.when(hit, text)
+def sources_view(sources: DataFrame, notes: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+    """All sources in order; `provenance_note` is the caller's text for the source type, if there is one."""
+    note = F.lit(None).cast("string")
+    for kind, text in notes.items():
+        note = F.when(F.col("source_type") == kind, text).otherwise(note)
     return sources.withColumn("provenance_note", note).orderBy("source_type", "source_name", "dataset_name")
 
 
