@@ -9,6 +9,7 @@ from fieldspark.config import ForestConfig
 from fieldspark.functions.columns import blend_rule as blend
 from fieldspark.operators import anomaly, features, iforest, intervals, metrics
 from fieldspark.plans import bindings as b
+from fieldspark.session import scratch_path
 
 FEATS = ("actual", "dev_fraction", "rolling_mean", "change_rate")
 
@@ -123,6 +124,22 @@ def scored(spark, sf):
     return anomaly.detector_scores(b.monthly(spark, sf), SMALL)
 
 
+# Months before the 48th fit the forest and its scale; the later ones only walk it.
+RAW_EARLY = RAW_ALL.replace("<= 256 AS smp", "<= 256 AND rk < 48 AS smp")
+CAL_EARLY = CAL.replace(RAW, RAW_EARLY).replace("FROM raw GROUP BY 1", "FROM raw WHERE t < 48 GROUP BY 1")
+
+
+@query("detector_later_months", sql=BASE + CAL_EARLY + """
+SELECT asset_id, t, round(iso_score, 6) AS iso_score, round(anomaly_score, 6) AS anomaly_score FROM bl WHERE t >= 48""")
+def detector_later_months(spark, sf):
+    """A detector that is fitted on the first months, stored, and scores the later ones on its own scale."""
+    panel = b.monthly(spark, sf)
+    place = scratch_path(spark, "detector")
+    anomaly.fit_detector(panel.where(F.col("t") < 48), SMALL).write.parquet(place)
+    out = anomaly.score_with(panel, spark.read.parquet(place), SMALL).where(F.col("t") >= 48)
+    return rounded(out.select("asset_id", "t", "iso_score", "anomaly_score"))
+
+
 @query("detector_default", sql=BASE + """
 SELECT asset_id, count(*) AS months, count(*) AS scored, 0 AS out_of_range, 0 AS below_rule FROM af GROUP BY 1""")
 def detector_default(spark, sf):

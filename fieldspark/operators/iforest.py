@@ -238,6 +238,74 @@ def score_every(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequ
     return out.select(*keys, row_key, _raw(F.col("path"), harmonic_path(F.col("psi"), config.sample)).alias("raw_score"))
 
 
+FLAT = "start array<int>, feature array<int>, cut array<double>, left array<int>, path array<double>"
+
+
+def fit_model(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str] = ("asset_id",),
+              config: ForestConfig = ForestConfig(), presample: bool = False) -> DataFrame:
+    """The forest of each key as a table: (keys, part, psi) and the flat breadth-first arrays of a part of its trees.
+
+    The same trees as `grow`. A key has a row for each of the eight tasks that grow its trees, with at most two nodes for
+    each sampled row and tree.
+    """
+    keys = list(keys)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("part", T.IntegerType()), T.StructField("psi", T.LongType()),
+                           *T.StructType.fromDDL(FLAT).fields])
+    out_types = to_arrow_schema(schema)
+    width, groups, levels, n_keys = len(features), min(TREE_GROUPS, config.trees), tree_depth(config.sample), len(keys)
+    trees_all, sample, seed = config.trees, config.sample, config.seed
+    extra = np.array(_harmonic_table(sample)) if config.leaf_correction else np.zeros(sample + 1)
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        values, group = [k.as_py() for k in key[:n_keys]], key[n_keys].as_py()
+        x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        if "tree" in table.column_names:
+            tree, row = table.column("tree").to_numpy().astype(np.int64), np.arange(table.num_rows)
+        else:
+            tree, row = isolation.sample_rows(table.column("_rk").to_pylist(), [t for t in range(1, trees_all + 1) if t % groups == group], sample, seed)
+        grown = isolation.grow(x, tree, row, levels, ":".join([str(seed), *[str(v) for v in values]]) + ":")
+        flat = isolation.flatten(tree, *grown, extra)
+        psi = len(row) // max(len(flat.start), 1)
+        cols = [*values, group, psi, flat.start, flat.feature, flat.cut, flat.left, flat.path]
+        return pa.Table.from_arrays([pa.array([c], type=f.type) for c, f in zip(cols, out_types)], names=out_types.names)
+
+    return _groups(df, row_key, features, keys, config, presample).applyInArrow(build, schema)
+
+
+def score_model(df: DataFrame, model: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str] = ("asset_id",),
+                config: ForestConfig = ForestConfig(), slices: Column | None = None) -> DataFrame:
+    """(keys, row, raw_score) of any rows by the forests of `model`; rows whose key has none are left out.
+
+    Rows and trees meet in groups of a key, or of a key and one of its `slices` (a column, for keys with very many rows), and
+    all trees take a level at once; no row carries a forest.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(row_key).alias("_row"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
+                     (F.lit(0) if slices is None else F.xxhash64(slices)).cast("long").alias("_s"))
+    trees_of = [*keys, "psi", *[f.name for f in T.StructType.fromDDL(FLAT).fields]]
+    held = rows.select(*keys, "_s").distinct().join(model.select(*trees_of).toDF(*trees_of), keys)
+    held = held.toDF(*held.columns)  # columns of its own, as rows and model may come from one table
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(row_key, df.schema[row_key].dataType), T.StructField("raw", T.DoubleType())])
+    out_types, width, n_keys, levels = to_arrow_schema(schema), len(features), len(keys), tree_depth(config.sample)
+    norm = np.array(_harmonic_table(config.sample))
+
+    def walk(key: tuple, table: pa.Table, trees: pa.Table) -> pa.Table:
+        if not trees.num_rows or not table.num_rows:
+            return out_types.empty_table()
+        x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        total, count = np.zeros(len(x)), 0
+        for i in range(trees.num_rows):
+            flat = isolation.FlatTrees(*[trees.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("start", "feature", "cut", "left", "path")])
+            total, count = total + flat.path_sums(x, levels), count + len(flat.start)
+        c = norm[trees.column("psi")[0].as_py()]
+        raw = np.power(2.0, -(total / count) / c) if c > 0 else np.zeros(len(x))
+        cols = [*[[k.as_py()] * len(x) for k in key[:n_keys]], table.column("_row").combine_chunks(), raw]
+        return pa.Table.from_arrays([pa.array(v, type=f.type) if not isinstance(v, pa.Array) else v.cast(f.type) for v, f in zip(cols, out_types)], names=out_types.names)
+
+    out = rows.groupBy(*keys, "_s").cogroup(held.groupBy(*keys, "_s")).applyInArrow(walk, schema)
+    return out.select(*keys, row_key, F.round("raw", 12).alias("raw_score"))
+
+
 def calibrate(scores: DataFrame, keys: Sequence[str] = ("asset_id",), config: ForestConfig = ForestConfig(),
               exact: str = "window") -> DataFrame:
     """Adds iso_score in 0..1: distance above the lower percentile over a widened range, bent by a power.
