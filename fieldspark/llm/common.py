@@ -36,15 +36,15 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, setup: Callable | None = None) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, setup: Callable | None = None) -> DataFrame:
     """Apply fn to each Arrow batch; it returns the columns of `schema`. `setup` runs once per task, its value goes to fn."""
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
             cols = fn(batch, state) if setup else fn(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in target], schema=target)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldspark.llm.common import doc_crc, map_columns
 from fieldspark.llm.labelled import Adam, sigmoid
@@ -128,6 +129,7 @@ def fit(rows: list[tuple[str, bytes]], cfg: EcocConfig) -> EcocModel:
 def train(docs: DataFrame, folds: int, held_out: int, cfg: EcocConfig = EcocConfig()) -> EcocModel:
     """Fitted on a sample of documents with a language and a letter, outside the held-out fold; as many rows of each language
     as there are, up to its equal part of cfg.rows."""
+    docs = docs.select("doc_id", "lang", "text")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_crc(F.col("doc_id"), folds) != held_out))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
@@ -147,14 +149,20 @@ def train(docs: DataFrame, folds: int, held_out: int, cfg: EcocConfig = EcocConf
     return fit([(r["lang"], r["x"]) for r in got], cfg)
 
 
-def identify(docs: DataFrame, model: EcocModel, *carry: str) -> DataFrame:
-    """The carried columns with lang_pred, score and ambiguous, one row per document row; whole texts, nothing but the text."""
-    kinds, own = dict(docs.dtypes), [c for c in carry if c not in ("lang_pred", "score", "ambiguous")]
-
+def identify_rows(docs: DataFrame, model: EcocModel) -> DataFrame:
+    """(row, lang_pred, score, ambiguous): `row` is a struct of all columns of docs, whatever their names; one row per document
+    row; whole texts, nothing but the text."""
     def run(batch: pa.RecordBatch) -> dict:
         found = [model.predict(t.as_py()) for t in batch.column(0)]
-        return {c: batch.column(i + 1) for i, c in enumerate(own)} | {
-            "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "ambiguous": [f[2] for f in found]}
+        return {"row": batch.column(1), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "ambiguous": [f[2] for f in found]}
+
+    given = docs.select(F.col("text").cast("string").alias("_text"), F.struct("*").alias("row"))
+    schema = StructType([given.schema["row"], *StructType.fromDDL("lang_pred string, score double, ambiguous boolean").fields])
+    return map_columns(given, run, schema)
 
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in own) + "lang_pred string, score double, ambiguous boolean"
-    return map_columns(docs.select(F.col("text").cast("string").alias("_text"), *own), run, schema)
+
+def identify(docs: DataFrame, model: EcocModel, *carry: str) -> DataFrame:
+    """The carried columns with lang_pred, score and ambiguous. Carried columns of these names give way; see identify_rows."""
+    own = [c for c in carry if c not in ("lang_pred", "score", "ambiguous")]
+    rows = identify_rows(docs.select("text", *[F.col(f"`{c}`") for c in own if c != "text"]), model)
+    return rows.select(*[F.col("row")[c].alias(c) for c in own], "lang_pred", "score", "ambiguous")

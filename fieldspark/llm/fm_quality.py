@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import Memo, map_columns, words_of
@@ -101,14 +101,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], cfg: FmConfig) -> FmMode
     return FmModel(cfg, w.astype(np.float32), v.astype(np.float32))
 
 
-def _inputs(docs: DataFrame, *more: str) -> DataFrame:
-    declared = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), declared.alias("n_chars"), *more)
+def _declared(docs: DataFrame) -> Column:
+    return (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("n_chars")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, cfg: FmConfig = FmConfig()) -> FmModel:
     """Features of a bounded labelled sample are made by Spark; the sample's feature vectors are fitted on the driver."""
-    rows = _inputs(training_rows(docs, labels, "quality", folds, held_out, cfg.rows_per_class), "_label")
+    rows = training_rows(docs, labels, "quality", folds, held_out, cfg.rows_per_class, _declared(docs))
 
     def run(batch: pa.RecordBatch, buckets: Memo) -> dict:
         found = [features(t, n, buckets) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -127,4 +126,4 @@ def score(docs: DataFrame, model: FmModel) -> DataFrame:
         return {"doc_id": batch.column(0), "score": sigmoid(np.array(z, float))}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_columns(_inputs(docs), run, f"doc_id {kind}, score double", lambda: bucket_memo(model.cfg))
+    return map_columns(docs.select("doc_id", F.col("text").cast("string").alias("text"), _declared(docs)), run, f"doc_id {kind}, score double", lambda: bucket_memo(model.cfg))

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import bounded, doc_crc
+from fieldspark.llm.common import bounded, doc_crc, staged
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
-    """docs with their 0/1 label as `_label`: about `rows` per class at most, none of the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, *more: Column) -> DataFrame:
+    """(doc_id, text, more.., label): about `rows` rows per class, never more than 1.2 times as many, none of the held-out fold.
 
-    The sampled ids are broadcast (2.4 times `rows` at most), so the documents are read once and not shuffled. Labels other
-    than 0 and 1 and null ids are left out; an id labelled twice takes its larger label.
+    First ids are sampled, then the rows that carry them; rows that agree in id and text are one. The sampled ids are broadcast
+    (2.4 times `rows` at most), so the documents are read once, and what is found is written to the shared folder. Labels other
+    than 0 and 1 and null ids are left out; an id labelled twice takes its larger label. Other columns are not read.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (doc_crc(F.col("doc_id"), folds) != held_out)).groupBy(
-        F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    parts = [bounded(known.where(F.col("_label") == v), rows, [F.col("_id")]) for v in (0, 1)]
-    ids = parts[0].unionByName(parts[1])
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id")
+        F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("label"))
+    parts = [bounded(known.where(F.col("label") == v), rows, [F.col("id")]) for v in (0, 1)]
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)
+    found = own.join(F.broadcast(parts[0].unionByName(parts[1])), F.col("doc_id") == F.col("id")).drop("id")
+    once = staged(found.groupBy("doc_id", "label", F.xxhash64("text").alias("hash")).agg(F.min(F.struct("text", *own.columns[2:])).alias("row")), "sample")
+    kept = [bounded(once.where(F.col("label") == v), rows, [F.col("doc_id"), F.col("hash")]) for v in (0, 1)]
+    return kept[0].unionByName(kept[1]).select("doc_id", "row.*", "label")
 
 
 def sigmoid(z):

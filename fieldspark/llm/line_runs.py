@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
     dropped = masks(store.owned_elsewhere(keyed.drop("batch")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     t1, t2 = hashes(text)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id"), t1.alias("t1"), t2.alias("t2"))
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), t1.alias("t1"), t2.alias("t2"))
     d = dropped.select(F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "masks")
     rows = whole.join(d, whole["doc_id"].eqNullSafe(d["_d"]) & (whole["t1"] == d["_t1"]) & (whole["t2"] == d["_t2"]), "left")
     lines = F.split(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), "\n", -1)

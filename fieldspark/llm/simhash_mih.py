@@ -116,13 +116,15 @@ def near_groups(docs: DataFrame, cfg: SimhashConfig = SimhashConfig()) -> DataFr
 def keep_one(docs: DataFrame, cfg: SimhashConfig = SimhashConfig()) -> DataFrame:
     """The documents without near duplicates: of each group one row stays, of its smallest doc_id.
 
-    Where several rows share that id, the one with the smallest text hash stays (a null text first), and one row of equal
-    ones. Groups without any id keep one row of a null id.
+    Where several rows share that id, the one with the smallest text hash stays (a null text first); of rows that agree in id and
+    text the one with the smallest hash of all columns, the same on every run. Groups without any id keep one row of a null
+    id. Columns keep their names and values, whatever they are called; maps can't be hashed and are not allowed.
     """
     # of each group the smallest id (null after all others), then the smallest text hash
     lead = near_groups(docs, cfg).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
-    keep = lead.select(F.col("m.doc_id").alias("_d"), F.col("m.th").alias("_th"))
+    keep = lead.select(F.col("m.doc_id").alias("d"), F.col("m.th").alias("h"))
     text = F.col("text").cast("string")
-    rows = docs.withColumn("_h", F.when(text.isNotNull(), F.xxhash64(text)))
-    kept = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["_d"]) & rows["_h"].eqNullSafe(keep["_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("th"),
+                       F.xxhash64("*").alias("order"))
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["d"]) & rows["th"].eqNullSafe(keep["h"]), "left_semi")
+    return kept.groupBy("doc_id", "th").agg(F.min_by("row", "order").alias("row")).select("row.*")

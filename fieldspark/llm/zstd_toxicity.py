@@ -28,6 +28,9 @@ class CompressionConfig:
     lift: float = 3.0
     #: telling passages that make up one training sample of the toxic dictionary; a single one is too short to train on
     sample: int = 8
+    #: one of so many windows of ordinary text, by a hash, is a sample for the ordinary dictionaries; of each at most so many
+    ordinary_share: int = 3
+    ordinary_windows: int = 60_000
 
 
 #: Follows each window and ends both dictionaries. The compressor looks for no match in the last bytes of its input and stores
@@ -66,6 +69,14 @@ def _context_counts(texts: list[str]) -> dict[bytes, int]:
     return dict(zip(number, counts.tolist(), strict=True))
 
 
+def _bounded(samples: list[bytes], most: int) -> list[bytes]:
+    """At most so many samples, chosen by a hash; in their order."""
+    if len(samples) <= most:
+        return samples
+    marks = np.array([zlib.crc32(s, 1) for s in samples])
+    return [samples[i] for i in np.sort(np.argsort(marks, kind="stable")[:most])]
+
+
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
@@ -117,12 +128,12 @@ def fit(rows: list[tuple[int, str]], cfg: CompressionConfig) -> CompressionModel
     telling = {w for w, n in a.items() if n >= cfg.contexts and np.log((n + 0.5) / na) - np.log((b.get(w, 0) + 0.5) / nb) > cfg.lift}
     passages = [b" " + w.strip(MARKS) + b" " for t in toxic for w in _words(t) if w.strip(MARKS) in telling]
     passages = passages or [w for t in toxic for w in windows(t, 5)] or [b"toxic"]
-    common = [w for t in plain for w in windows(t, 5)][::3] or [b"ordinary"]
+    common = [w for t in plain for w in windows(t, 5) if zlib.crc32(w) % cfg.ordinary_share == 0] or [b"ordinary"]
     half = max(1, 2 * len(common) // 3)
-    base = _trained(common[:half][:60_000], cfg.ordinary_bytes, 64, 6)
+    base = _trained(_bounded(common[:half], cfg.ordinary_windows), cfg.ordinary_bytes, 64, 6)
     samples = [b"".join(passages[i : i + cfg.sample]) for i in range(0, len(passages), cfg.sample)]
     extra = _trained(samples, cfg.toxic_bytes, 32, 8)
-    same = _trained(common[half:][:60_000] or common, max(256, len(extra)), 16, 8)
+    same = _trained(_bounded(common[half:] or common, cfg.ordinary_windows), max(256, len(extra)), 16, 8)
     model = CompressionModel(cfg, base + same, base + extra, np.zeros(size), 0.0)
     pair = model.compressors()
     held = [r for r, c in zip(rows, third, strict=True) if c] or rows
@@ -143,7 +154,7 @@ def prior(model: CompressionModel, sampled: float, actual: float) -> Compression
 
 def train(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, cfg: CompressionConfig = CompressionConfig()) -> CompressionModel:
     rows = training_rows(docs, labels, "toxic", folds, held_out, cfg.rows_per_class)
-    got = [(r["_label"], r["text"]) for r in rows.select("_label", F.col("text").cast("string").alias("text")).collect() if r["text"]]
+    got = [(r["label"], r["text"]) for r in rows.select("label", "text").collect() if r["text"]]
     got.sort(key=lambda r: (zlib.crc32(r[1].encode("utf-8", "replace")), r[1], r[0]))
     model = fit(got, cfg)
     share = labels.where(F.col("toxic").isin(0, 1) & (doc_crc(F.col("doc_id"), folds) != held_out)).agg(F.avg("toxic")).first()[0]
