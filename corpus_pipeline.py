@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.llm import ecoc_language, line_runs, simhash_mih, source_mix, ss_packing
@@ -13,13 +13,24 @@ from fieldspark.llm.queries import packing_config
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told clearly; those without a letter or between two languages go."""
     model = ecoc_language.train(docs, 4, 2)
-    return ecoc_language.identify(docs, model, *docs.columns).where("lang_pred <> 'und' AND NOT ambiguous").select(*docs.columns)
+    return ecoc_language.identify_rows(docs, model).where("lang_pred <> 'und' AND NOT ambiguous").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each repeated line stays in the smallest document only; n_chars follows the text."""
-    rows = line_runs.dedup_lines(docs)
-    return rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Each repeated line stays in the smallest document only; n_chars, if there is one, follows the text."""
+    own = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*[F.col(f"`{c}`") for c in own]).alias("rest")
+    rows = line_runs.dedup_lines(docs.select("doc_id", "text", rest))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        value = F.col("rest")[c]
+        if c == "n_chars":
+            value = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(value)
+        return value.alias(c)
+
+    return rows.select(*[column(c) for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
