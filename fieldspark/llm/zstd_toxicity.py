@@ -28,7 +28,7 @@ class CompressionConfig:
     lift: float = 3.0
     #: telling passages that make up one training sample of the toxic dictionary; a single one is too short to train on
     sample: int = 8
-    #: one of so many windows of ordinary text, by a hash, is a sample for the ordinary dictionaries; of each at most so many
+    #: one of so many windows of ordinary text, by a hash of text and place, is a sample for the ordinary dictionaries; of each at most so many
     ordinary_share: int = 3
     ordinary_windows: int = 60_000
 
@@ -69,11 +69,16 @@ def _context_counts(texts: list[str]) -> dict[bytes, int]:
     return dict(zip(number, counts.tolist(), strict=True))
 
 
+def _chosen(samples: list[bytes], seed: int, share: int) -> list[bytes]:
+    """One of `share` samples, by a hash of the seed and the place: a frequent sample stays as frequent."""
+    return [s for i, s in enumerate(samples) if zlib.crc32(b"%d" % i, seed) % share == 0]
+
+
 def _bounded(samples: list[bytes], most: int) -> list[bytes]:
-    """At most so many samples, chosen by a hash; in their order."""
+    """At most so many samples, chosen by a hash of their places; in their order."""
     if len(samples) <= most:
         return samples
-    marks = np.array([zlib.crc32(s, 1) for s in samples])
+    marks = np.array([zlib.crc32(b"%d" % i) for i in range(len(samples))])
     return [samples[i] for i in np.sort(np.argsort(marks, kind="stable")[:most])]
 
 
@@ -128,7 +133,7 @@ def fit(rows: list[tuple[int, str]], cfg: CompressionConfig) -> CompressionModel
     telling = {w for w, n in a.items() if n >= cfg.contexts and np.log((n + 0.5) / na) - np.log((b.get(w, 0) + 0.5) / nb) > cfg.lift}
     passages = [b" " + w.strip(MARKS) + b" " for t in toxic for w in _words(t) if w.strip(MARKS) in telling]
     passages = passages or [w for t in toxic for w in windows(t, 5)] or [b"toxic"]
-    common = [w for t in plain for w in windows(t, 5) if zlib.crc32(w) % cfg.ordinary_share == 0] or [b"ordinary"]
+    common = [w for t in plain for w in _chosen(windows(t, 5), zlib.crc32(t.encode("utf-8", "replace")), cfg.ordinary_share)] or [b"ordinary"]
     half = max(1, 2 * len(common) // 3)
     base = _trained(_bounded(common[:half], cfg.ordinary_windows), cfg.ordinary_bytes, 64, 6)
     samples = [b"".join(passages[i : i + cfg.sample]) for i in range(0, len(passages), cfg.sample)]
