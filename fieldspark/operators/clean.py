@@ -12,7 +12,7 @@ from fieldspark.functions.columns import safe_div
 from fieldspark.operators import sliced
 from fieldspark.operators.quantiles import group_percentiles
 from fieldspark.schema import MEASURES
-from fieldspark.session import cut_lineage, join_checked, scratch_path
+from fieldspark.session import join_checked, scratch_path
 
 KEY = ("asset_id", "timestamp")
 
@@ -110,27 +110,26 @@ def outlier_flags(
     """Adds `is_outlier`. MAD z-score with a population-std fallback, or the IQR rule.
 
     Statistics come from aggregates joined back on the key, never from a window over all rows of an asset. With exact
-    "bracket" the statistics (one row per key) are pinned, so the rows are read five times and shuffled not at all while
-    there are few enough keys to broadcast them; "sort" is one lazy plan for bounded groups.
+    "bracket" the statistics (one row per key) come from pinned counts, and the rows are shuffled not at all while there are
+    few enough keys to broadcast them; "sort" is one lazy plan for bounded groups.
     """
     keys = list(keys)
-    pin = cut_lineage if exact == "bracket" else (lambda d: d)
     join = join_checked if exact == "bracket" else (lambda d, side, on, how: d.join(side, on, how))
     if method == "iqr":
-        q = pin(group_percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}, exact).drop("n"))
+        q = group_percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75}, exact).drop("n")
         spread = F.col("_q3") - F.col("_q1")
         bad = (F.col(value) < F.col("_q1") - k * spread) | (F.col(value) > F.col("_q3") + k * spread)
         return join(df, q, keys, "left").withColumn("is_outlier", F.coalesce(bad, F.lit(False))).drop("_q1", "_q3")
-    med = pin(group_percentiles(
+    med = group_percentiles(
         df, keys, value, {"_med": 0.5}, exact,
-        extra=[F.stddev_pop(value).alias("_std"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]).drop("n"))
+        extra=[F.stddev_pop(value).alias("_std"), F.min(value).alias("_low"), F.max(value).alias("_high")]).drop("n")
     dev = F.abs(F.col(value) - F.col("_med"))
     centred = join(df, med, keys, "left").withColumn("_dev", dev)
-    mad = pin(group_percentiles(centred.select(*keys, "_dev"), keys, "_dev", {"_mad": 0.5}, exact).drop("n"))
+    mad = group_percentiles(centred.select(*keys, "_dev"), keys, "_dev", {"_mad": 0.5}, exact).drop("n")
     z = F.when(F.col("_mad") > 0, 0.6745 * F.col("_dev") / F.when(F.col("_mad") > 0, F.col("_mad"))).when(
-        (F.col("_hi") > F.col("_lo")) & (F.col("_std") > 0), safe_div(F.col("_dev"), F.col("_std")))
+        (F.col("_high") > F.col("_low")) & (F.col("_std") > 0), safe_div(F.col("_dev"), F.col("_std")))
     return (join(centred, mad, keys, "left").withColumn("is_outlier", F.coalesce(z > threshold, F.lit(False)))
-            .drop("_med", "_std", "_lo", "_hi", "_dev", "_mad"))
+            .drop("_med", "_std", "_low", "_high", "_dev", "_mad"))
 
 
 def drop_outliers(df: DataFrame, flag_only: bool = False) -> DataFrame:
