@@ -23,6 +23,7 @@ from fieldspark.config import ForestConfig
 from fieldspark.functions import isolation
 from fieldspark.functions.columns import clamp
 from fieldspark.operators.quantiles import group_percentiles
+from fieldspark.session import BROADCAST_ROWS, cut_lineage, scratch_path
 
 cloudpickle.register_pickle_by_value(isolation)  # the helper travels with the task; executors need no installed package
 
@@ -54,20 +55,74 @@ def tree_depth(sample: int) -> int:
 
 
 def _groups(df: DataFrame, row_key: str, features: Sequence[str], keys: list[str], config: ForestConfig, presample: bool):
-    """Rows copied per tree group; with presample already cut to the sample, with a `tree` column."""
+    """Rows copied per tree group; with presample only the sampled (row, tree) pairs, with a `tree` column."""
     groups = min(TREE_GROUPS, config.trees)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = df.select(
+    rows = df.select(
         *keys, F.col(row_key).alias("_row"), F.col(row_key).cast("string").alias("_rk"),
-        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_grp"))
+        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     if not presample and keys:
+        copies = rows.withColumn("_grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         return copies.repartition(parts, *keys, "_grp").groupBy(*keys, "_grp")
-    mine = F.filter(F.sequence(F.lit(1), F.lit(config.trees)), lambda i: F.pmod(i, F.lit(groups)) == F.col("_grp"))
-    order = F.md5(F.concat_ws(":", F.lit(str(config.seed)), F.col("tree").cast("string"), F.col("_rk")))
-    pairs = copies.select("*", F.explode(mine).alias("tree")).withColumn("_h", order)
-    first = F.row_number().over(Window.partitionBy(*keys, "_grp", "tree").orderBy("_h", "_rk"))
-    return pairs.withColumn("_rn", first).where(F.col("_rn") <= config.sample).drop("_h", "_rn").groupBy(*keys, "_grp")
+    return tree_samples(rows, keys, config).withColumn("_grp", F.pmod("tree", F.lit(groups))).groupBy(*keys, "_grp")
+
+
+def tree_samples(rows: DataFrame, keys: Sequence[str], config: ForestConfig, expected: float | None = None) -> DataFrame:
+    """Per key and `tree` the `config.sample` rows with the smallest hashes of (seed, tree, `_rk`), exactly.
+
+    From one count per key a bound on the hash follows under which about `expected` rows lie (default: well above the sample),
+    and a (row, tree) pair over it is dropped where the row is read. So about trees x expected pairs are written and sorted,
+    not trees x rows. A (key, tree) with fewer pairs than its sample is drawn again under an eightfold bound, up to all rows.
+    Runs jobs; needs the columns `_rk` and the keys.
+    """
+    keys, spark = list(keys), rows.sparkSession
+    expected = config.sample + 8.0 * math.sqrt(config.sample) + 16.0 if expected is None else expected
+    ids = [f"_k{i}" for i in range(len(keys))]
+    counts = cut_lineage(rows.groupBy(*[F.col(k).alias(i) for k, i in zip(keys, ids)]).agg(F.count(F.lit(1)).alias("_n")))
+    asked = counts.withColumn("_trees", F.sequence(F.lit(1), F.lit(config.trees)))
+
+    def joined(left: DataFrame, side: DataFrame, how: str, names: Sequence[str]) -> DataFrame:
+        match = F.lit(True)
+        for k, i in zip(names, ids):
+            match = match & left[k].eqNullSafe(side[i])
+        small = not ids or side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return left.join(F.broadcast(side) if small else side, match, how)
+
+    done: DataFrame | None = None
+    while True:
+        hashed = F.transform("_trees", lambda t: F.struct(
+            t.alias("tree"), F.md5(F.concat_ws(":", F.lit(str(config.seed)), t.cast("string"), F.col("_rk"))).alias("_h")))
+        # the bound as fifteen hexadecimal digits, as the hash is text
+        share = F.lit(float(expected)) / F.col("_n")
+        bound = F.lower(F.lpad(F.hex(F.floor(share * F.lit(float(2 ** 60))).cast("long")), 15, "0"))
+        held = joined(rows, asked, "inner", keys).withColumn("_bound", F.when(share < 1, bound))
+        under = F.filter(hashed, lambda p: F.col("_bound").isNull() | (F.substring(p["_h"], 1, 15) < F.col("_bound")))
+        place = scratch_path(spark, "forest")
+        held.select(*rows.columns, "_n", F.explode(under).alias("_p")).select(*rows.columns, "_n", "_p.*").write.parquet(place)
+        pairs = spark.read.parquet(place)
+        found = pairs.groupBy(*[F.col(k).alias(i) for k, i in zip(keys, ids)], "tree").agg(F.count(F.lit(1)).alias("_found"))
+        wanted = asked.select(*[F.col(i).alias(f"_w{i}") for i in ids], "_n", F.explode("_trees").alias("_t"))
+        match = F.col("_t") == F.col("tree")
+        for i in ids:
+            match = match & F.col(f"_w{i}").eqNullSafe(F.col(i))
+        short = wanted.join(found, match, "left").where(
+            F.coalesce("_found", F.lit(0)) < F.least(F.lit(config.sample), "_n")).groupBy(
+            *[F.col(f"_w{i}").alias(i) for i in ids], "_n").agg(F.collect_list("_t").alias("_trees"))
+        short = cut_lineage(short)
+        again = not short.isEmpty()
+        full = pairs
+        if again:
+            lacking = short.select(*ids, F.explode("_trees").alias("_t"))
+            match = pairs["tree"] == lacking["_t"]
+            for k, i in zip(keys, ids):
+                match = match & pairs[k].eqNullSafe(lacking[i])
+            full = pairs.join(lacking, match, "left_anti")
+        done = full if done is None else done.unionByName(full)
+        if not again:
+            break
+        asked, expected = short, expected * 8.0
+    first = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy("_h", "_rk"))
+    return done.withColumn("_rn", first).where(F.col("_rn") <= config.sample).drop("_h", "_rn", "_n")
 
 
 def _grow_with(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str], config: ForestConfig, presample: bool,
@@ -123,7 +178,7 @@ def grow(
     """One row per (key, tree, sampled row): leaf id, depth, leaf size and the sample size `psi`.
 
     A row joins a tree's sample when it is among the `sample` smallest hashes of (seed, tree, row). With presample the
-    sample is cut before the shuffle, inside the map tasks; use it where a key may hold many more rows than the sample.
+    pairs are cut where the rows are read (see tree_samples); use it where a key may hold many more rows than the sample.
     Without it a key's rows travel whole, which suits monthly panels. A feature that is NULL for a key is never split.
     """
     return _grow_with(df, row_key, features, keys, config, presample, splits=False)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -146,6 +147,24 @@ def test_forest_ranks_an_outlier_first(spark):
     assert top.t == 200 and 0.5 < top.raw_score <= 1
 
 
+def test_tree_samples_are_the_smallest_hashes_whatever_the_bound(spark):
+    cfg = ForestConfig(trees=5, sample=12)
+    rows = [("A", str(i)) for i in range(700)] + [("B", str(i)) for i in range(7)] + [(None, str(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "asset_id string, _rk string")
+    want = set()
+    for key in ("A", "B", None):
+        for tree in range(1, 6):
+            ranked = sorted((hashlib.md5(f"{cfg.seed}:{tree}:{r}".encode()).hexdigest(), r) for k, r in rows if k == key)
+            want |= {(key, tree, r) for _, r in ranked[:12]}
+    for expected in (None, 2.0, 0.01):  # the last two have to widen
+        got = iforest.tree_samples(df, ["asset_id"], cfg, expected).collect()
+        assert len(got) == len(want) and {(r.asset_id, r.tree, r._rk) for r in got} == want
+    pooled = iforest.tree_samples(df.where("asset_id = 'A'").select("_rk"), [], cfg, 3.0).collect()
+    assert {("A", r.tree, r._rk) for r in pooled} == {w for w in want if w[0] == "A"}
+    assert iforest.tree_samples(df.limit(0), ["asset_id"], cfg).count() == 0
+    assert iforest.tree_samples(df.limit(0).select("_rk"), [], cfg).count() == 0
+
+
 def test_forest_does_not_depend_on_partitioning(spark):
     cfg = ForestConfig(trees=4, sample=32)
     df = _forest_input(spark)
@@ -185,6 +204,22 @@ def test_interval_cover_against_brute_force(spark):
         assert r.covered == any(k == r.k and s <= r.t <= e for k, s, e in known)
 
 
+def test_interval_cover_of_very_long_intervals_and_nulls(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["A", "B", None]), rng.choice([None, rng.randint(-50, 10 ** 9)]), i) for i in range(400)]
+    rows += [("A", 5 * 10 ** 8, 1000 + i) for i in range(3)]  # repeated rows stay
+    known = [("A", -40.0, 2.0), ("A", 10.0, 9.0), ("A", 4e8, 6e8), ("A", 4.5e8, 4.6e8), ("B", 7e8, 7e8 + 1), ("B", None, 1e9),
+             (None, 0.0, 1e9)]
+    df = spark.createDataFrame(rows, "k string, t long, `a.b` int")
+    out = intervals.mark_covered(df, spark.createDataFrame(known, "k string, s double, e double"), ("k",), "t", "s", "e", 16.0).collect()
+    assert sorted(r["a.b"] for r in out) == sorted(i for _, _, i in rows)
+    for r in out:
+        assert r.covered == any(r.k is not None and r.t is not None and k == r.k and s is not None and s <= r.t <= e for k, s, e in known)
+    empty = intervals.mark_covered(df, spark.createDataFrame([], "k string, s double, e double"), ("k",), "t", "s", "e", 16.0)
+    assert empty.where("covered").count() == 0 and empty.count() == len(rows)
+    assert intervals.mark_covered(df.limit(0), spark.createDataFrame(known, "k string, s double, e double"), ("k",), "t", "s", "e", 16.0).count() == 0
+
+
 def test_global_rank_is_dense_under_ties(spark):
     df = spark.range(5000).select(F.concat(F.lit("A-"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("a"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 1.0).alias("s"))
     out = global_rank(df, [F.col("s").desc(), F.col("a").asc()]).toPandas().sort_values("rank")
