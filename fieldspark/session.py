@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,15 @@ def join_checked(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def observed(seen: Observation, frame: DataFrame | None, figures: Sequence[Column]) -> dict[str, int] | None:
+    """The figures of an observation whose job has ended.
+
+    When a plan turns out to be empty while it runs, the adaptive planner may drop the node that observes, and the figures with
+    it; then they are counted over `frame`. None without one.
+    """
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return frame.agg(*figures).first().asDict() if frame is not None else None

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import clamp
 from fieldspark.operators.clean import dedupe
+from fieldspark.operators.quality import check_contract
+from fieldspark.session import observed
 
 # Fixed values of an asset that is registered from data alone.
 PLACEHOLDER = {"field_name": "UNSPECIFIED", "basin": "UNSPECIFIED", "status": "REGISTERED"}
@@ -28,24 +31,52 @@ def new_rows(df: DataFrame, target: DataFrame, keys: Sequence[str] = ("asset_id"
     return batch.join(stored, list(keys), "left_anti")
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at the path, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_new(df: DataFrame, path: str, keys: Sequence[str] = ("asset_id", "timestamp"), order: Sequence[str] = (),
-               prune: bool = True) -> None:
-    """Idempotent append to a Parquet table partitioned by year and month."""
+               prune: bool = True) -> int:
+    """Idempotent append to a Parquet table partitioned by year and month; the number of rows written.
+
+    The anti-join reads the stored keys of just the months that the batch holds, however far they lie apart.
+    """
     spark = df.sparkSession
     stamped = df.withColumns({"year": F.year(keys[-1]), "month": F.month(keys[-1])})
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
+    target = read_table(spark, path)
+    if target is None:
         fresh = dedupe(stamped, order, keep="first", keys=keys) if order else stamped.dropDuplicates(list(keys))
     else:
-        target = spark.read.parquet(path)
         if prune:
-            span = stamped.agg(F.min("year").alias("a"), F.max("year").alias("b")).first()
-            if span["a"] is not None:
-                target = target.where(F.col("year").between(span["a"], span["b"]))
+            at = F.col("year") * 12 + F.col("month")
+            months = [r["m"] for r in stamped.select(at.alias("m")).distinct().collect() if r["m"] is not None]  # bounded by the calendar
+            target = target.where(at.isin(months))
         fresh = new_rows(stamped, target, keys, order)
-    fresh.repartition("year", "month", F.pmod(F.xxhash64(keys[0]), F.lit(16))).sortWithinPartitions(*keys).write.mode(
+    seen = Observation()
+    fresh.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(
+        "year", "month", F.pmod(F.xxhash64(keys[0]), F.lit(16))).sortWithinPartitions(*keys).write.mode(
         "append").partitionBy("year", "month").parquet(path)
+    return (observed(seen, None, ()) or {"rows": 0})["rows"]  # lost only where there was nothing to write
+
+
+def write_facts(rows: DataFrame, rules: Mapping[str, str], path: str, rejected: str, mode: str = "append") -> dict[str, int]:
+    """Stores the fact rows that satisfy every rule of the contract, and the others with their `reasons` beside them.
+
+    The counts of both, as `stored` and `rejected`.
+    """
+    good, bad = check_contract(rows, rules)
+    counts = {}
+    for what, part, place in (("stored", good, path), ("rejected", bad, rejected)):
+        seen, rows_of = Observation(), F.count(F.lit(1)).alias("rows")
+        part.observe(seen, rows_of).write.mode(mode).parquet(place)
+        counts[what] = observed(seen, part, [rows_of])["rows"]
+    return counts
 
 
 def register_assets(df: DataFrame, assets: DataFrame) -> DataFrame:

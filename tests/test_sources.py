@@ -1,10 +1,13 @@
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.config import CleanConfig
 from fieldspark.operators import clean
+from fieldspark.plans.ingest import IngestError, ingest, ingest_synthetic
+from fieldspark.schema import ANOMALY_RULES
 from fieldspark.sources import mapping, readers, sinks
 from tests.conftest import TELEMETRY_DDL, daily
 
@@ -87,6 +90,63 @@ def test_append_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 45
 
 
+def test_append_prunes_to_the_months_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.append_new(spark.createDataFrame(daily(800, start="2024-01-01"), TELEMETRY_DDL), path) == 800
+    late = daily(2, start="2024-02-03") + daily(3, start="2026-05-01") + [("A-9", daily(1, start="2024-02-03")[0][1], 1.0, "feed", "REAL")]
+    batch = spark.createDataFrame(late, TELEMETRY_DDL)
+    assert sinks.append_new(batch, path) == 4 and sinks.append_new(batch, path) == 0
+    assert spark.read.parquet(path).count() == 804
+
+
+def test_facts_that_break_their_contract_are_set_aside(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 0.5, "WATCH", "OPEN"), ("B", 1.5, "WATCH", None), ("C", None, "LOUD", None)],
+                                 "asset_id string, anomaly_score double, severity string, status string").withColumn("status", F.lit(None).cast("string"))
+    counts = sinks.write_facts(rows, ANOMALY_RULES, str(tmp_path / "good"), str(tmp_path / "bad"))
+    assert counts == {"stored": 1, "rejected": 2}
+    assert {r.asset_id: r.reasons for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {"B": ["score_out_of_range"], "C": ["severity_invalid"]}
+
+
+def test_ingest_reports_every_step_and_repeats_safely(spark, tmp_path):
+    at = daily(60)[0][1]
+    rows = [(*r[:2], r[2] + i % 3, *r[3:], 50.0) for i, r in enumerate(daily(60))] + [
+        (None, None, 1.0, "f", "SYNTHETIC", 1.0), ("A-1", at, -4.0, "f", "SYNTHETIC", 1.0), ("A-1", at, 101.0, "f", "SYNTHETIC", 40.0),
+        ("N-1", at, 5.0, "f", "SYNTHETIC", 9000.0), ("N-1", at, 5.0, "f", "SYNTHETIC", None), ("N-1", at + timedelta(days=2), 5.0, "f", "SYNTHETIC", 8.0)]
+    rows[55] = (*rows[55][:2], rows[55][2] + 900, *rows[55][3:])
+    df = spark.createDataFrame(rows, TELEMETRY_DDL + ", pressure double").withColumn("n", F.monotonically_increasing_id())
+    assets, place = spark.createDataFrame([("A-1",)], "asset_id string"), str(tmp_path / "history")
+    done = ingest(df, place, assets, ("n",), CleanConfig(impute=True), mapped=True)
+    want = {"rows_received": 66, "missing_required_dropped": 1, "negative_dropped": 1, "unit_rows_dropped": 1, "pressure_violations": 1, "duplicates_removed": 1,
+            "pressure_imputed": 1, "outliers_removed": 1, "output_rows": 61, "rows_persisted": 61, "rows_skipped_stored": 0, "assets_created": 1, "missing_pressure": 0}
+    assert {k: done.figures[k] for k in want} == want
+    assert done.issues == {"unit_violations": 1, "outliers_removed": 1}
+    assert [(r.asset_id, r.status) for r in done.assets.collect()] == [("N-1", "REGISTERED")]
+    assert [(r.dataset_name, r.source_type) for r in done.source.collect()] == [("dataset", "SYNTHETIC")]
+    again = ingest(df, place, assets, ("n",), CleanConfig(impute=True), mapped=True, create_assets=False)
+    assert again.figures["rows_persisted"] == 0 and again.issues["unknown_assets_skipped"] == 2 and again.assets.count() == 0
+    assert again.figures["rows_skipped_stored"] == 59 and spark.read.parquet(place).count() == 61
+    assert again.report().first()["issues"]["unknown_assets_skipped"] == 2
+
+
+def test_ingest_of_nothing_is_an_error_and_of_bad_rows_an_issue(spark, tmp_path):
+    df = spark.createDataFrame([("A-1", None, -1.0, "f", "REAL")], TELEMETRY_DDL)
+    assets = spark.createDataFrame([("A-1",)], "asset_id string")
+    for call in (ingest, ingest_synthetic):
+        with pytest.raises(IngestError):
+            call(df.limit(0), str(tmp_path / "h"), assets, ("source",), mapped=True)
+    done = ingest(df, str(tmp_path / "h"), assets, ("source",), mapped=True)
+    assert done.issues == {"nothing_left": 1} and done.figures["rows_persisted"] == 0 and done.source.count() == 0
+    made = ingest_synthetic(spark.createDataFrame(daily(3), TELEMETRY_DDL).withColumn("source_type", F.lit("REAL")), str(tmp_path / "s"), assets, ("source",), mapped=True)
+    assert made.figures["rows_persisted"] == 3 and {r.source_type for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {"SYNTHETIC"}
+
+
+def test_lenient_cleaning_counts_zeroed_rates(spark):
+    df = spark.createDataFrame(daily(5) + [("A-1", daily(9)[8][1], -4.0, "f", "SYNTHETIC")], TELEMETRY_DDL)
+    out, figures = clean.clean_counted(df, ("source",), CleanConfig(negatives="zero", outliers=None))
+    assert figures["negative_zeroed"] == 1 and figures["negative_dropped"] == 0 and figures["output_rows"] == 6 == out.count()
+    assert figures["production_violations"] == 0 and out.agg(F.min("production")).first()[0] == 0.0
+
+
 def test_export_csv(spark, tmp_path):
     sinks.export_csv(spark.createDataFrame(daily(3), TELEMETRY_DDL), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
