@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from checks.base import ASSETS, EVENTS, LINE_ORDER, MONTHLY, TELEMETRY_RAW, query, rounded, with_
 from checks.features import AF
 from fieldspark.functions.columns import is_anomalous, rule_score, severity
-from fieldspark.operators import anomaly, features, portfolio, scoring
+from fieldspark.operators import anomaly, features, pages, portfolio, scoring
 from fieldspark.plans import bindings as b
+from fieldspark.session import scratch_path
 
 RULED = AF + """
 , ruled AS (SELECT *, CASE WHEN abs(dev_fraction) >= 0.1::DOUBLE THEN least(abs(dev_fraction) / 0.2::DOUBLE, 1) ELSE 0 END::DOUBLE AS anomaly_score FROM af)"""
@@ -348,3 +349,15 @@ SELECT asset_id, period, severity, status FROM over WHERE severity IN ('ALERT',
 def filter_anomalies(spark, sf):
     out = anomaly.filter_anomalies(status_frames(spark, sf)[0], ("ALERT", "CRITICAL"), ("INVESTIGATING", "MONITORING"), "A-1")
     return out.select("asset_id", "period", "severity", "status")
+
+
+@query("deep_page", sql="""
+WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders), n AS (SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM orders)
+SELECT o_orderkey, place, pages FROM r, n WHERE place > (pages - 2) * 25 AND place <= (pages - 1) * 25""")
+def deep_page(spark, sf):
+    """The last page but one of all orders by price, from the stored pages."""
+    place = scratch_path(spark, "pages")
+    pages.store_pages(b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], place, 5000)
+    index = pages.page_index(spark, place, 25)
+    out = pages.read_page(spark, place, index.first()["pages"] - 1, 25)
+    return out.join(F.broadcast(index.select("pages"))).select("o_orderkey", F.col("_place").alias("place"), "pages")

@@ -113,6 +113,30 @@ def stream_transitions(spark, sf):
     return _micros(spark.read.parquet(f"{place}/events"))
 
 
+@query("stream_set_aside", sql=with_(EVENTS) + """
+, parts AS (SELECT DISTINCT asset_id, timestamp, event_id % 3 AS part FROM events_telemetry)
+SELECT 'stored' AS status, count(DISTINCT (asset_id, timestamp)) AS row_count FROM parts WHERE part <> 1
+UNION ALL SELECT 'set_aside', count(*) FROM parts WHERE part = 1""")
+def stream_set_aside(spark, sf):
+    """Three batches, of which the second can't be transformed: it is set aside whole, the others are stored and then merged."""
+    rows = b.events_telemetry(spark, sf).select("asset_id", "timestamp", "production", "event_id")
+    place = scratch_path(spark, "stream-set-aside")
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = st.telemetry_stream(spark, f"{place}/in", rows.schema, maxFilesPerTrigger="1")
+
+    def refuse(df):
+        bad = F.col("_new") & (F.col("event_id") % 3 == 1)
+        return df.withColumn("production", F.when(bad, F.raise_error(F.lit("part 1")).cast("double")).otherwise(F.col("production")))
+
+    st.write_observations(source, f"{place}/table", f"{place}/checkpoint", refuse, on_error="set_aside").awaitTermination()
+    st.compact_observations(spark, f"{place}/table")
+    keys = ["asset_id", "timestamp"]
+    kept = st.read_observations(spark, f"{place}/table").select(*keys).unionByName(st.late_observations(spark, f"{place}/table").select(*keys))
+    both = kept.withColumn("status", F.lit("stored")).unionByName(st.aside_observations(spark, f"{place}/table").select(*keys, F.lit("set_aside").alias("status")))
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query("stream_window", sql="""
 WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
 SELECT event_type AS source, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS readings, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi
