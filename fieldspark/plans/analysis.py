@@ -71,4 +71,6 @@ def analyze(
     out = scoring.verification_codes(out.withColumn("top_feature", F.col("contributing_features")[0]["feature"])).drop("top_feature")
     if provenance is not None:
         out = out.join(provenance, "asset_id", "left")
-    return portfolio.rank_assets(out)
+    # only asset and score are sorted and pinned for the rank; the wide rows are computed once, by the caller's action
+    ranks = portfolio.rank_assets(state.select("asset_id", "score")).drop("score")
+    return out.join(ranks, "asset_id")
