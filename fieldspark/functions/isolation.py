@@ -28,53 +28,70 @@ def sample_rows(row_keys: list[str], trees: list[int], sample: int, seed: int) -
     return np.array(picked_t, dtype=np.int64), np.array(picked_r)
 
 
-def _segments(tree: np.ndarray, node: np.ndarray, idx: np.ndarray):
-    order = np.lexsort((node[idx], tree[idx]))
-    idx = idx[order]
-    t, nd = tree[idx], node[idx]
-    edge = np.flatnonzero((t[1:] != t[:-1]) | (nd[1:] != nd[:-1])) + 1
-    starts = np.concatenate(([0], edge))
-    counts = np.diff(np.concatenate((starts, [idx.size])))
-    return idx, t[starts], nd[starts], starts, counts
+#: A split of a tree's node. A table of them reads like a list of tuples.
+SPLIT = np.dtype([("tree", np.int64), ("node", np.int64), ("feature", np.int64), ("cut", float)])
+
+
+def draws(prefix: str, tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Two numbers in 0..1 for each node, by a hash of (prefix, tree, node)."""
+    head, md5 = prefix.encode(), hashlib.md5
+    names = zip(tree.tolist(), node.tolist(), strict=True)
+    hashes = b"".join([md5(head + b"%d:%d" % name).digest() for name in names])
+    return np.frombuffer(hashes, ">u4").reshape(-1, 4)[:, :2] / _UNIT
 
 
 def grow(x: np.ndarray, tree: np.ndarray, row: np.ndarray, levels: int, prefix: str):
-    """(node, depth, size) per pair and the list of splits (tree, node, feature, cut)."""
-    node = np.ones(tree.size, dtype=np.int64)
-    depth = np.zeros(tree.size, dtype=np.int32)
-    size = np.zeros(tree.size, dtype=np.int64)
-    live = np.ones(tree.size, dtype=bool)
-    splits: list[tuple[int, int, int, float]] = []
-    for _ in range(levels):
-        idx = np.flatnonzero(live)
+    """(node, depth, size) per pair and the splits (see SPLIT).
+
+    The pairs of a node stay together: a split puts its left pairs before its right ones, so no level sorts anything.
+    """
+    node, depth, size = np.ones(tree.size, dtype=np.int64), np.zeros(tree.size, dtype=np.int32), np.zeros(tree.size, dtype=np.int64)
+    splits: list[np.ndarray] = []
+    idx = np.argsort(tree, kind="stable")
+    starts = np.flatnonzero(np.diff(tree[idx], prepend=-1)) if idx.size else idx
+    for level in range(levels):
         if not idx.size:
             break
-        idx, seg_tree, seg_node, starts, counts = _segments(tree, node, idx)
+        counts = np.diff(np.append(starts, idx.size))
         values = x[row[idx]]
         lo, hi = np.minimum.reduceat(values, starts, axis=0), np.maximum.reduceat(values, starts, axis=0)
         varies = hi > lo
-        feature = np.full(starts.size, -1)
-        cut = np.zeros(starts.size)
-        for g in np.flatnonzero((counts > 1) & varies.any(axis=1)):
-            digest = hashlib.md5(f"{prefix}{seg_tree[g]}:{seg_node[g]}".encode()).hexdigest()
-            open_features = np.flatnonzero(varies[g])
-            j = open_features[int(int(digest[:8], 16) / _UNIT * open_features.size)]
-            feature[g] = j
-            cut[g] = lo[g, j] + int(digest[8:16], 16) / _UNIT * (hi[g, j] - lo[g, j])
-            splits.append((int(seg_tree[g]), int(seg_node[g]), int(j), float(cut[g])))
-        segment = np.repeat(np.arange(starts.size), counts)
-        moves = feature[segment] >= 0
-        ended, going = idx[~moves], idx[moves]
-        size[ended] = counts[segment[~moves]]
-        live[ended] = False
-        left = values[moves, feature[segment[moves]]] < cut[segment[moves]]
-        node[going] = node[going] * 2 + np.where(left, 0, 1)
+        open_features = np.cumsum(varies, axis=1)
+        parts = np.flatnonzero((counts > 1) & varies.any(axis=1))
+        found = np.empty(parts.size, SPLIT)
+        found["tree"], found["node"] = tree[idx[starts[parts]]], node[idx[starts[parts]]]
+        drawn = draws(prefix, found["tree"], found["node"])
+        nth = (drawn[:, 0] * open_features[parts, -1]).astype(np.int64) + 1
+        found["feature"] = (open_features[parts] == nth[:, None]).argmax(axis=1)
+        low, high = lo[parts, found["feature"]], hi[parts, found["feature"]]
+        found["cut"] = low + drawn[:, 1] * (high - low)
+        splits.append(found)
+        which = np.full(starts.size, -1)
+        which[parts] = np.arange(parts.size)
+        segment = np.repeat(which, counts)
+        moves = segment >= 0
+        ended, going, segment = idx[~moves], idx[moves], segment[moves]
+        size[ended] = np.repeat(counts, counts)[~moves]
+        right = values[np.flatnonzero(moves), found["feature"][segment]] >= found["cut"][segment]
+        node[going] = node[going] * 2 + right
         depth[going] += 1
-    rest = np.flatnonzero(live)
-    if rest.size:
-        idx, _, _, _, counts = _segments(tree, node, rest)
+        # places after the split: left pairs from the start of their node on, right ones behind them
+        taken = np.cumsum(~right)
+        ends = np.cumsum(counts[parts])
+        before = ends - counts[parts]
+        lefts = np.diff(taken[ends - 1], prepend=0)
+        left_rank = taken - np.repeat(np.cumsum(lefts) - lefts, counts[parts])
+        offset = np.arange(going.size) - before[segment]
+        place = before[segment] + np.where(right, lefts[segment] + offset - left_rank, left_rank - 1)
+        idx = np.empty_like(going)
+        idx[place] = going
+        starts = np.stack([before, before + lefts], axis=1).ravel()
+        # a cut at the lowest value leaves nothing on its left, one that rounds up to the highest may leave one value on its right
+        starts = starts[np.append(np.diff(starts) > 0, starts[-1:] < idx.size)]
+    if idx.size:
+        counts = np.diff(np.append(starts, idx.size))
         size[idx] = np.repeat(counts, counts)
-    return node, depth, size, splits
+    return node, depth, size, np.concatenate(splits) if splits else np.empty(0, SPLIT)
 
 
 @dataclass
@@ -101,12 +118,10 @@ class FlatTrees:
         return total
 
 
-def flatten(tree: np.ndarray, node: np.ndarray, depth: np.ndarray, size: np.ndarray, splits: list[tuple[int, int, int, float]],
-            extra: np.ndarray) -> FlatTrees:
+def flatten(tree: np.ndarray, node: np.ndarray, depth: np.ndarray, size: np.ndarray, splits: np.ndarray, extra: np.ndarray) -> FlatTrees:
     """The trees that `grow` built. extra[n] is added at a leaf of n sampled rows; a side of a split that no sampled row fell on
     is an empty leaf."""
-    cuts = np.array([(t, n, f) for t, n, f, _ in splits], np.int64).reshape(-1, 3)
-    at = np.array([c for *_, c in splits], float)
+    cuts, at = np.column_stack([splits["tree"], splits["node"], splits["feature"]]), splits["cut"]
     roots = np.unique(tree)
     # a tree's nodes are its root and both children of every split
     owner = np.concatenate([roots, np.repeat(cuts[:, 0], 2)])
@@ -127,8 +142,16 @@ def flatten(tree: np.ndarray, node: np.ndarray, depth: np.ndarray, size: np.ndar
     return FlatTrees(place(roots, np.ones(len(roots), np.int64)), feature, cut, left, path)
 
 
-def path_sums(x: np.ndarray, tree: np.ndarray, node: np.ndarray, depth: np.ndarray, size: np.ndarray,
-              splits: list[tuple[int, int, int, float]], levels: int, extra: np.ndarray) -> tuple[np.ndarray, int]:
-    """(sum over the trees of each row's path length, number of trees), for all rows of x, sampled or not."""
+def path_sums(x: np.ndarray, tree: np.ndarray, row: np.ndarray, node: np.ndarray, depth: np.ndarray, size: np.ndarray,
+              splits: np.ndarray, levels: int, extra: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sum over the trees of each row's path length, number of trees), for all rows of x, sampled or not.
+
+    Rows that are in every sample are in the leaves already; only otherwise do they walk the trees.
+    """
+    trees = int(np.count_nonzero(np.diff(tree, prepend=-1))) if tree.size else 0
+    if trees and tree.size == trees * len(x):
+        order = np.lexsort((row, tree))
+        # tree after tree, as in a walk
+        return np.cumsum((depth + extra[size])[order].reshape(trees, len(x)), axis=0)[-1], trees
     flat = flatten(tree, node, depth, size, splits, extra)
     return flat.path_sums(x, levels), len(flat.start)

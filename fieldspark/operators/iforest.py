@@ -54,13 +54,17 @@ def tree_depth(sample: int) -> int:
     return max(int(math.ceil(math.log2(max(sample, 2)))), 1)
 
 
+def _array_rows(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return df.select(
+        *keys, F.col(row_key).alias("_row"), F.col(row_key).cast("string").alias("_rk"),
+        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+
+
 def _groups(df: DataFrame, row_key: str, features: Sequence[str], keys: list[str], config: ForestConfig, presample: bool):
     """Rows copied per tree group; with presample only the sampled (row, tree) pairs, with a `tree` column."""
     groups = min(TREE_GROUPS, config.trees)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(
-        *keys, F.col(row_key).alias("_row"), F.col(row_key).cast("string").alias("_rk"),
-        F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    rows = _array_rows(df, row_key, features, keys)
     if not presample and keys:
         copies = rows.withColumn("_grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         return copies.repartition(parts, *keys, "_grp").groupBy(*keys, "_grp")
@@ -156,7 +160,7 @@ def _grow_with(df: DataFrame, row_key: str, features: Sequence[str], keys: Seque
         psi = dict(zip(ids.tolist(), counts.tolist()))
         if splits:
             leaves = {(int(t), int(n)): (int(d), int(z)) for t, n, d, z in zip(tree, node, depth, size)}
-            records = [(t, n, f, c, None, None, psi[t]) for t, n, f, c in cuts]
+            records = [(t, n, f, c, None, None, psi[t]) for t, n, f, c in cuts.tolist()]
             records += [(t, n, None, None, d, z, psi[t]) for (t, n), (d, z) in leaves.items()]
             cols = [list(c) for c in zip(*records)]
         else:
@@ -264,8 +268,9 @@ def score_every(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequ
                 config: ForestConfig = ForestConfig()) -> DataFrame:
     """(key, row, raw_score) for every row of df, whether it is in a tree's sample or not: grown and walked in one pass.
 
-    A key's rows travel whole to the tasks of its tree groups, which suits monthly panels; of each row only the summed path
-    of a tree group comes back. For keys with very many rows grow on a presample and use score_rows.
+    A key's rows travel whole, which suits monthly panels; of each row only the summed path comes back. The rows of a key that
+    fit into a sample go once, to one task that grows all its trees; a key with more rows goes to a task for each of its tree
+    groups. For keys with very many rows grow on a presample and use score_rows.
     """
     keys = list(keys)
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(row_key, df.schema[row_key].dataType),
@@ -278,16 +283,20 @@ def score_every(df: DataFrame, row_key: str, features: Sequence[str], keys: Sequ
     def walk(key: tuple, table: pa.Table) -> pa.Table:
         values, group = [k.as_py() for k in key[:n_keys]], key[n_keys].as_py()
         x = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-        mine = [t for t in range(1, trees_all + 1) if t % groups == group]
+        mine = [t for t in range(1, trees_all + 1) if group is None or t % groups == group]
         tree, row = isolation.sample_rows(table.column("_rk").to_pylist(), mine, sample, seed)
         node, depth, size, splits = isolation.grow(x, tree, row, levels, ":".join([str(seed), *[str(v) for v in values]]) + ":")
-        path, trees = isolation.path_sums(x, tree, node, depth, size, splits, levels, extra)
+        path, trees = isolation.path_sums(x, tree, row, node, depth, size, splits, levels, extra)
         n = table.num_rows
         columns = [*[[v] * n for v in values], table.column("_row").combine_chunks(), path, [trees] * n, [min(n, sample)] * n]
         return pa.Table.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type)
                                      for c, f in zip(columns, out_types)], names=out_types.names)
 
-    sums = _groups(df, row_key, features, keys, config, presample=False).applyInArrow(walk, schema)
+    rows = _array_rows(df, row_key, features, keys).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    several = F.sequence(F.lit(0), F.lit(groups - 1))
+    copies = rows.withColumn("_grp", F.explode(F.when(F.col("_all") > sample, several).otherwise(F.array(F.lit(None).cast("int"))))).drop("_all")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = copies.repartition(parts, *keys, "_grp").groupBy(*keys, "_grp").applyInArrow(walk, schema)
     mean = F.sum("path") / F.sum("trees")
     out = sums.groupBy(*keys, row_key).agg(mean.alias("path"), F.max("psi").alias("psi"))
     return out.select(*keys, row_key, _raw(F.col("path"), harmonic_path(F.col("psi"), config.sample)).alias("raw_score"))

@@ -75,3 +75,28 @@ def test_detector_of_nothing(spark):
     assert anomaly.fit_detector(p.limit(0), ForestConfig(trees=2)).count() == 0
     model = anomaly.fit_detector(p, ForestConfig(trees=2))
     assert anomaly.score_with(p.limit(0), model, ForestConfig(trees=2)).count() == 0
+
+
+def test_rows_of_a_small_key_go_once_and_leaves_give_the_walk(spark, monkeypatch, tmp_path):
+    r = np.random.default_rng(3)
+    x, extra = r.normal(size=(50, 3)), np.linspace(0, 3, 65)
+    tree, row = isolation.sample_rows([str(i) for i in range(50)], [2, 4, 7], 64, 7)
+    grown = isolation.grow(x, tree, row, 6, "k:")
+    sums, trees = isolation.path_sums(x, tree, row, *grown, 6, extra)
+    assert trees == 3 and np.array_equal(sums, isolation.flatten(tree, *grown, extra).path_sums(x, 6))
+    feats = features.anomaly_features(panel(spark, {"A": series(60, 1), "B": series(30, 2)}, {"A": [100.0] * 60, "B": [90.0] * 30}))
+    cfg, real, place = ForestConfig(trees=20, sample=40), isolation.sample_rows, str(tmp_path / "calls")
+    want = {(x.asset_id, x.t): x.raw_score for x in iforest.score_rows(
+        feats, iforest.pack(iforest.grow_nodes(feats, "t", anomaly.FEATURES, config=cfg), config=cfg), anomaly.FEATURES, config=cfg).collect()}
+
+    def noted(row_keys, trees, sample, seed):
+        with open(place, "a") as f:
+            f.write(f"{len(row_keys)} {len(trees)}\n")
+        return real(row_keys, trees, sample, seed)
+
+    monkeypatch.setattr(isolation, "sample_rows", noted)
+    got = {(x.asset_id, x.t): x.raw_score for x in iforest.score_every(feats, "t", anomaly.FEATURES, config=cfg).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    calls = sorted(tuple(map(int, c.split())) for c in open(place).read().splitlines())
+    big = max(n for n, _ in calls)  # more rows than a sample: a task for each tree group
+    assert [t for n, t in calls if n < big] == [20] and sorted(t for n, t in calls if n == big) == [2, 2, 2, 2, 3, 3, 3, 3]
