@@ -112,3 +112,11 @@ def test_state_is_bounded_and_keys_pass_once(spark, monkeypatch):
     times = [x.ts for x in out]
     assert times == sorted(set(times)) and len(times) > 190 and [x.place for x in out] == list(range(len(out)))
     assert [x[3] for x in out][-1] == [str(ts) for ts in times[-5:-1]]
+
+
+def test_rows_before_travel_as_one_text(spark):
+    """Of a reading's look-back one JSON array leaves the state, read in one go, not a text for each row."""
+    stream = spark.readStream.format("rate").load().selectExpr("'A' AS asset_id", "timestamp", "CAST(value AS DOUBLE) AS actual").withWatermark("timestamp", "1 hour")
+    out = ordered.with_past(stream, ["actual"], 16)
+    assert "transform(" not in out._jdf.queryExecution().analyzed().toString()
+    assert dict(out.dtypes)["past"] == "array<struct<actual:double>>"
