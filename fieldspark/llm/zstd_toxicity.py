@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import doc_crc, map_columns
+from fieldspark.llm.common import Memo, doc_crc, map_columns
 from fieldspark.llm.labelled import logistic, sigmoid, training_rows
 
 
@@ -38,6 +38,7 @@ class CompressionConfig:
 TAIL = bytes(range(1, 9)) + bytes(range(14, 32))
 EDGES = (-1, 10)  # differences of lengths are counted from below -1 to above 10
 MARKS = b".,;:!?"
+WINDOWS_KEPT = 600_000  # windows of a task whose figures are kept: some 80 MB
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -99,12 +100,19 @@ class CompressionModel:
     weights: np.ndarray
     intercept: float
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor, Memo]:
+        """Both compressors, and by how many bytes the toxic dictionary shortens a window: each window is compressed once."""
         def one(content: bytes) -> zstandard.ZstdCompressor:
             return zstandard.ZstdCompressor(
                 level=self.cfg.level, dict_data=zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                 write_content_size=False, write_checksum=False, write_dict_id=False)
-        return one(self.ordinary), one(self.toxic)
+
+        def shortened(window: bytes) -> int:
+            framed = b" " + window + b" " + TAIL
+            return len(plain.compress(framed)) - len(toxic.compress(framed))
+
+        plain, toxic = one(self.ordinary), one(self.toxic)
+        return plain, toxic, Memo(shortened, WINDOWS_KEPT)
 
     def score(self, text: str | None, pair: tuple) -> float:
         return float(sigmoid(distances(text, pair, self.cfg) @ self.weights + self.intercept))
@@ -112,9 +120,8 @@ class CompressionModel:
 
 def distances(text: str | None, pair: tuple, cfg: CompressionConfig) -> np.ndarray:
     """How many windows the toxic dictionary shortens by how many bytes, as counts and as shares, with their number and mean."""
-    plain, toxic = pair[0].compress, pair[1].compress
-    framed = [b" " + w + b" " + TAIL for w in windows(text, cfg.window)]
-    d = np.array([len(plain(w)) - len(toxic(w)) for w in framed] or [0])
+    known = pair[2]
+    d = np.array([known[w] for w in windows(text, cfg.window)] or [0])
     h = np.bincount(np.clip(d, *EDGES) - EDGES[0], minlength=EDGES[1] - EDGES[0] + 1)
     return np.concatenate([np.log1p(h), np.sqrt(h / len(d)), [np.log(len(d)), d.mean()]])
 

@@ -209,3 +209,18 @@ def test_added_private_data():
         assert part not in anchor_pii.masked(text, anchor_pii.spans_of(text, machine))
     for text in NOT_ADDED:
         assert anchor_pii.spans_of(text, machine) == []
+
+
+def test_a_window_is_compressed_once():
+    import numpy as np
+
+    from fieldspark.llm import zstd_toxicity as z
+
+    cfg = z.CompressionConfig()
+    model = z.CompressionModel(cfg, b"ordinary words of a text" * 8, b" curse " * 40, np.zeros(z.EDGES[1] - z.EDGES[0] + 3), 0.0)
+    pair, text = model.compressors(), "two words " * 50 + "curse again"
+    first = z.distances(text, pair, cfg)
+    assert len(pair[2]) == len(set(z.windows(text, cfg.window))) == 2
+    assert np.array_equal(first, z.distances(text, model.compressors(), cfg))
+    framed = [b" " + w + b" " + z.TAIL for w in z.windows(text, cfg.window)]
+    assert first[-1] == np.mean([len(pair[0].compress(w)) - len(pair[1].compress(w)) for w in framed])
