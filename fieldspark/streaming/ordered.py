@@ -23,7 +23,7 @@ from fieldspark.streaming.telemetry import events_of, with_lateness
 #: State on the executors' disks, written to the checkpoint by changes.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "passed long, place long, ts array<long>, rows array<string>"
-OUT = "asset_id string, ts long, _row string, _past string, place long"
+OUT = "asset_id string, ts long, _row string, _past array<string>, place long"
 
 
 def merge_readings(waiting: list[tuple[int, str]], passed: list[tuple[int, str]], new: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -56,7 +56,7 @@ def with_past(stream: DataFrame, cols: Sequence[str], back: int) -> DataFrame:
         ready = [x for x in waiting if x[0] <= mark * 1000]
         out = []
         for ts, row in ready:
-            out.append((key[0], ts, row, f"[{','.join([r for _, r in passed])}]", place))
+            out.append((key[0], ts, row, [r for _, r in passed], place))
             passed, place = (passed + [(ts, row)])[-back:], place + 1
         waiting = waiting[len(ready):]
         held = passed + waiting
@@ -70,7 +70,7 @@ def with_past(stream: DataFrame, cols: Sequence[str], back: int) -> DataFrame:
         F.col("asset_id").cast("string").alias("asset_id"), "timestamp", F.unix_micros("timestamp").alias("ts"), F.to_json(F.struct(*cols)).alias("_row"))
     out = given.groupBy("asset_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("asset_id", F.timestamp_micros("ts").alias("timestamp"), F.from_json("_row", kept).alias("_r"),
-                      F.from_json("_past", T.ArrayType(kept)).alias("past"), "place").select("asset_id", "timestamp", "_r.*", "past", "place")
+                      F.from_json(F.concat(F.lit("["), F.array_join("_past", ","), F.lit("]")), T.ArrayType(kept)).alias("past"), "place").select("asset_id", "timestamp", "_r.*", "past", "place")
 
 
 def batch_with_past(df: DataFrame, cols: Sequence[str], back: int) -> DataFrame:

@@ -114,8 +114,8 @@ def test_state_is_bounded_and_keys_pass_once(spark, monkeypatch):
     assert [x[3] for x in out][-1] == [str(ts) for ts in times[-5:-1]]
 
 
-def test_rows_before_travel_as_one_text(spark):
-    """Of a reading's look-back one JSON array leaves the state, read in one go, not a text for each row."""
+def test_rows_before_are_read_in_one_go(spark):
+    """The texts of a reading's look-back are read as one JSON array, not one by one."""
     stream = spark.readStream.format("rate").load().selectExpr("'A' AS asset_id", "timestamp", "CAST(value AS DOUBLE) AS actual").withWatermark("timestamp", "1 hour")
     out = ordered.with_past(stream, ["actual"], 16)
     assert "transform(" not in out._jdf.queryExecution().analyzed().toString()
