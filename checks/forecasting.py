@@ -9,6 +9,7 @@ from fieldspark.config import ForecastConfig
 from fieldspark.operators import attribution as at
 from fieldspark.operators import decline, features, forecast, metrics
 from fieldspark.plans import bindings as b
+from fieldspark.session import cut_lineage
 from fieldspark.sources import sinks
 
 META = ("intervention_cost", "onstream_year")
@@ -126,7 +127,7 @@ def backtest_refit(spark, sf):
 
 def gbt(spark, sf):
     panel = b.monthly(spark, sf).drop("expected").join(b.assets(spark, sf), "asset_id")
-    rows = forecast.training_rows(panel, metadata=META)
+    rows = cut_lineage(forecast.training_rows(panel, metadata=META))  # read by the fit, the residuals and the ablation
     return panel, rows, forecast.fit_forecaster(rows)
 
 

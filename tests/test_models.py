@@ -280,3 +280,26 @@ def test_model_backtest_covers_each_assets_own_last_third(spark):
                                    "asset_id string, field_name string, basin string, status string, onstream_year int, intervention_cost double, qi double, di double, b double")
     out = {r.asset_id: r.backtest for r in analyze(p, assets, base="gbt", trees=1, forest=ForestConfig(trees=2)).collect()}
     assert out["L"].folds and out["S"].folds and out["XS"] is None
+
+
+def test_pooled_fit_deals_many_rows_evenly_and_pins_them(spark, monkeypatch):
+    from checks import forecasting
+
+    few, cores = forecast.FEW_ROWS, 12
+    assert forecast.fit_tasks(few, cores) == 1 and forecast.fit_tasks(few + 1, cores) == cores
+    assert forecast.fit_tasks(25_000_000, cores) == 36  # whole waves
+
+    series = {f"A-{i}": [100.0 - t + i for t in range(30 if i else 90)] for i in range(9)}
+    given = panel(spark, series).repartition(2, "asset_id")
+    assets = spark.createDataFrame([(a, 100.0, 0.01, 0.5, 1.0, 2000) for a in series], "asset_id string, qi double, di double, b double, intervention_cost double, onstream_year int")
+    monkeypatch.setattr(forecasting.b, "monthly", lambda *_: given)
+    monkeypatch.setattr(forecasting.b, "assets", lambda *_: assets)
+    seen = []
+    real = forecast.GBTRegressor.fit
+    monkeypatch.setattr(forecast.GBTRegressor, "fit", lambda self, df: seen.append(df) or real(self.setMaxIter(2), df))
+    monkeypatch.setattr(forecast, "FEW_ROWS", 10)
+    _, rows, model = forecasting.gbt(spark, "")
+    assert "Scan ExistingRDD" in rows._jdf.queryExecution().toString() and model.getNumTrees == 2
+    sizes = [len(p) for p in seen[0].rdd.glom().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(sizes) == rows.count() == 77 + 8 * 17 and len(sizes) == cores and max(sizes) - min(sizes) <= rows.rdd.getNumPartitions()
