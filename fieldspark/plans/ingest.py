@@ -60,7 +60,8 @@ def ingest(df: DataFrame, history: str, assets: DataFrame, order: Sequence[str],
         issues["unknown_assets_skipped"] = figures["output_rows"] - kept
         rows, unknown = known, unknown.limit(0)
     offered = figures["output_rows"] - issues.get("unknown_assets_skipped", 0)
-    stored = sinks.append_new(rows, history, order=[c for c in order if c in rows.columns]) if offered else 0
+    once = config.monthly or config.copies is not None  # the cleaning left one row per key
+    stored = sinks.append_new(rows, history, order=[c for c in order if c in rows.columns], unique=once) if offered else 0
     if not figures["output_rows"]:
         issues["nothing_left"] = figures["input_rows"]
     figures = {"rows_received": figures["input_rows"], "rows_persisted": stored, "rows_skipped_stored": offered - stored, "assets_created": created, **figures}

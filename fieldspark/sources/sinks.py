@@ -17,14 +17,19 @@ from fieldspark.session import observed
 PLACEHOLDER = {"field_name": "UNSPECIFIED", "basin": "UNSPECIFIED", "status": "REGISTERED"}
 
 
+def _one_per_key(df: DataFrame, order: Sequence[str], keep: str, keys: Sequence[str]) -> DataFrame:
+    return dedupe(df, order, keep=keep, keys=keys) if order else df.dropDuplicates(list(keys))
+
+
 def new_rows(df: DataFrame, target: DataFrame, keys: Sequence[str] = ("asset_id", "timestamp"),
-             order: Sequence[str] = (), keep: str = "first", prune: tuple | None = None) -> DataFrame:
+             order: Sequence[str] = (), keep: str = "first", prune: tuple | None = None, unique: bool = False) -> DataFrame:
     """Rows of the batch that are not stored yet; one row per key.
 
     The anti-join sees only the key columns of the target. `prune` (first, last) limits the target to the batch's time
-    range before the join, so a partitioned target is not scanned whole.
+    range before the join, so a partitioned target is not scanned whole. A batch that is `unique` holds no key twice and
+    is not grouped again.
     """
-    batch = dedupe(df, order, keep=keep, keys=keys) if order else df.dropDuplicates(list(keys))
+    batch = df if unique else _one_per_key(df, order, keep, keys)
     stored = target.select(*keys)
     if prune is not None:
         stored = stored.where(F.col(keys[-1]).between(F.lit(prune[0]), F.lit(prune[1])))
@@ -42,22 +47,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str] = ("asset_id", "timestamp"), order: Sequence[str] = (),
-               prune: bool = True) -> int:
+               prune: bool = True, unique: bool = False) -> int:
     """Idempotent append to a Parquet table partitioned by year and month; the number of rows written.
 
-    The anti-join reads the stored keys of just the months that the batch holds, however far they lie apart.
+    The anti-join reads the stored keys of just the months that the batch holds, however far they lie apart. `unique` tells
+    that the batch holds no key twice, which spares grouping its rows.
     """
     spark = df.sparkSession
     stamped = df.withColumns({"year": F.year(keys[-1]), "month": F.month(keys[-1])})
     target = read_table(spark, path)
     if target is None:
-        fresh = dedupe(stamped, order, keep="first", keys=keys) if order else stamped.dropDuplicates(list(keys))
+        fresh = stamped if unique else _one_per_key(stamped, order, "first", keys)
     else:
         if prune:
             at = F.col("year") * 12 + F.col("month")
             months = [r["m"] for r in stamped.select(at.alias("m")).distinct().collect() if r["m"] is not None]  # bounded by the calendar
             target = target.where(at.isin(months))
-        fresh = new_rows(stamped, target, keys, order)
+        fresh = new_rows(stamped, target, keys, order, unique=unique)
     seen = Observation()
     fresh.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(
         "year", "month", F.pmod(F.xxhash64(keys[0]), F.lit(16))).sortWithinPartitions(*keys).write.mode(

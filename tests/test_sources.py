@@ -207,3 +207,17 @@ def test_read_json_of_mixed_files(spark, tmp_path):
 def test_read_json_refuses_what_it_cannot_keep(spark, tmp_path, text):
     with pytest.raises(mapping.MappingError):
         readers.read_json(spark, _folder(tmp_path / "in", {"a.json": text, "b.json": '[{"a": 3}]'}))
+
+
+def test_ingest_does_not_group_cleaned_rows_again(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(daily(20) + daily(20), TELEMETRY_DDL).withColumn("n", F.monotonically_increasing_id())
+    assets, place = spark.createDataFrame([("A-1",)], "asset_id string"), str(tmp_path / "history")
+    looked, real = [], sinks.dedupe
+    monkeypatch.setattr(sinks, "dedupe", lambda *a, **k: looked.append(1) or real(*a, **k))
+    for stored in (20, 0):
+        done = ingest(df, place, assets, ("n",), mapped=True)
+        assert done.figures["rows_persisted"] == stored and done.figures["duplicates_removed"] == 20
+    assert not looked and spark.read.parquet(place).count() == 20
+    # copies that the cleaning leaves are still dropped by the append
+    kept = ingest(df, str(tmp_path / "other"), assets, ("n",), CleanConfig(copies=None), mapped=True)
+    assert looked and kept.figures["output_rows"] == 40 and kept.figures["rows_persisted"] == 20
